@@ -7,28 +7,35 @@ import tempfile
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir. Where that is unset, a temporary folder is
-    made, but only for a local master: on a cluster executors would not share it.
+    Where that is unset, a temporary folder is made and set, but only for a local master: on a
+    cluster executors would not share it.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="veldt-checkpoint-")
-        sc.setCheckpointDir(folder)
+    known = sc._jsc.sc().getCheckpointDir()
+    if not known.isEmpty():
+        return known.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="veldt-checkpoint-")
+    sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -30,6 +30,12 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veldt.llm.suffix_dedup import without_repeated_bytes
+
+    return without_repeated_bytes(_table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veldt.llm.secrets import secrets
 
@@ -64,17 +70,32 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veldt.llm.substring import without_repeats
+
+    return without_repeats(_table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
         op2_toxicity,
         op3_nearest_neighbours,
+        op4_suffix_dedup,
         op5_secret_scans,
         op6_mixing,
         op7_simhash,
         op8_quality_rules,
         op9_url_filter,
+        op10_substring_dedup,
+        pipeline,
     )
 }
 
