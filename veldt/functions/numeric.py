@@ -17,7 +17,8 @@ def finite(x: Column) -> Column:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high)))
+    """x between two bounds; null stays null, though least and greatest would skip it."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high))))
 
 
 def half_up(x: Column, digits: int) -> Column:

@@ -124,7 +124,7 @@ def period_key(c: Column) -> Column:
     def end_of(year: Column, month: Column) -> Column:
         return year * 10000 + month * 100 + F.dayofmonth(F.last_day(F.make_date(year, month, F.lit(1))))
 
-    day = r"(\d{4})[-/.年](0?[1-9]|1[0-2])[-/.月](0?[1-9]|[12]\d|3[01])日?"
+    day = r"(\d{4})(?:年(?=\d+月)|([-/.])(?=\d+\2))(0?[1-9]|1[0-2])[-/.月](0?[1-9]|[12]\d|3[01])日?"
     quarter = r"(\d{4})年?[-\s]?(?:Q([1-4])|第?([一二三四1-4])季度)"
     half = r"(\d{4})年?[-\s]?(?:H([12])|([上下])半年)"
     months = r"(\d{4})[-/.年](0?[1-9]|1[0-2])月?[-~至到](0?[1-9]|1[0-2])月"
@@ -133,7 +133,7 @@ def period_key(c: Column) -> Column:
     q = F.coalesce(number(quarter, 2), *[F.when(F.regexp_extract(c, quarter, 3) == k, v) for k, v in _QUARTER.items()])
     h = F.coalesce(number(half, 2), F.when(F.regexp_extract(c, half, 3) == "上", 1).when(F.regexp_extract(c, half, 3) == "下", 2))
     return (
-        F.when(c.rlike(day), number(day, 1) * 10000 + number(day, 2) * 100 + number(day, 3))
+        F.when(c.rlike(day), number(day, 1) * 10000 + number(day, 3) * 100 + number(day, 4))
         .when(c.rlike(quarter), end_of(number(quarter, 1), q * 3))
         .when(c.rlike(half), end_of(number(half, 1), h * 6))
         .when(c.rlike(months), end_of(number(months, 1), number(months, 3)))

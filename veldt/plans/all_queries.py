@@ -1,3 +1,3 @@
 """Importing this module registers all queries of the library."""
 
-from veldt.plans import scoring_queries  # noqa: F401
+from veldt.plans import risk_queries, scoring_queries  # noqa: F401

@@ -90,7 +90,7 @@ ranked AS (
 percentiles AS (
   SELECT *, CASE WHEN sample_size > 1 THEN floor((below + (ties - 1) / CAST(2 AS DOUBLE)) / (sample_size - 1) * CAST(10000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(10000 AS DOUBLE) END AS risk_percentile FROM ranked),
 scores AS (
-  SELECT *, floor(CAST(100 AS DOUBLE) * least(greatest(CAST(0.5 AS DOUBLE) * CAST(0.5 AS DOUBLE) + CAST(0.5 AS DOUBLE) * risk_percentile, 0), 1) * CAST(100 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(100 AS DOUBLE) AS risk_score
+  SELECT *, CASE WHEN risk_percentile IS NOT NULL THEN floor(CAST(100 AS DOUBLE) * least(greatest(CAST(0.5 AS DOUBLE) * CAST(0.5 AS DOUBLE) + CAST(0.5 AS DOUBLE) * risk_percentile, 0), 1) * CAST(100 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(100 AS DOUBLE) END AS risk_score
   FROM percentiles)"""
 
 

@@ -123,7 +123,7 @@ def historical_anchor(spark, folder):
 @query(f"""WITH {O.SCORES}, q AS (SELECT company_id, metric_name, count(*) AS n, quantile_cont(numeric_value, {D('0.05')}) AS p05, quantile_cont(numeric_value, {D('0.5')}) AS median,
   quantile_cont(numeric_value, {D('0.95')}) AS p95 FROM observations GROUP BY 1, 2),
 a AS (SELECT company_id, metric_name, CASE WHEN n >= 3 AND p95 - p05 <> 0 THEN {O.half_up('least(greatest((median - p05) / (p95 - p05), 0), 1)', 4)} END AS anchor FROM q)
-SELECT company_id, indicator_id, anchor, {O.half_up(f"{D(100)} * least(greatest({D('0.5')} * anchor + {D('0.5')} * risk_percentile, 0), 1)", 2)} AS full_score FROM scores JOIN a USING (company_id, metric_name)""")
+SELECT company_id, indicator_id, anchor, CASE WHEN anchor + risk_percentile IS NOT NULL THEN {O.half_up(f"{D(100)} * least(greatest({D('0.5')} * anchor + {D('0.5')} * risk_percentile, 0), 1)", 2)} END AS full_score FROM scores JOIN a USING (company_id, metric_name)""")
 def full_anchor_score(spark, folder):
     q = S.quantiles(A.observations(spark, folder), ["company_id", "metric_name"])
     anchors = q.select("company_id", "metric_name", S.historical_anchor(q).alias("anchor"))
