@@ -7,6 +7,7 @@ from decimal import ROUND_HALF_UP, Decimal
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 EPSILON = 2.220446049250313e-16
 
@@ -31,7 +32,7 @@ def half_up_eps(x: Column, digits: int) -> Column:
     return F.floor((x + EPSILON) * float(10**digits) + 0.5) / float(10**digits)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def exact_fixed(x: pd.Series, digits: pd.Series) -> pd.Series:
     """Round the exact binary value half up (away from zero), for golden comparisons."""
 

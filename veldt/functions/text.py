@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -144,8 +145,6 @@ def period_key(c: Column) -> Column:
 
 def fnv1a(c: Column) -> Column:
     """FNV-1a, 32 bits, over the UTF-16 code units of a text, as 8 hex digits."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         def one(text):
