@@ -144,28 +144,69 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def word_encoder(path: str, most_words: int = 400_000, longest: int = 64):
-    """text -> bytes of its ids, little-endian unsigned 32-bit; no special tokens."""
+def word_encoder(path: str, most_words: int = 300_000, longest: int = 64, together: int = 500):
+    """text -> bytes of its ids, little-endian unsigned 32-bit; no special tokens.
+
+    Words between blanks are looked up in a bounded cache. A word of letters with a comma or full
+    stop behind it is two pieces to this kind of vocabulary, and case is dropped by it, so such words
+    share their core's ids. New cores of letters are encoded many to a call and told apart by the
+    ids that end a word; where the ends don't add up, and for all other words, each is encoded alone.
+    """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    cache: dict[str, bytes] = {}
+    ending = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+    ending[[i for w, i in tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
 
-    def packed(ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+    def alone(words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    marks = dict(zip(("", ".", ","), alone(["", ".", ","]), strict=True))
+    cache: dict[str, bytes] = {}
+    cores: dict[str, bytes] = {}
+
+    def learn_cores(new: list[str]) -> None:
+        parts = [new[i : i + together] for i in range(0, len(new), together)]
+        for part, got in zip(parts, tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
+            ends = np.flatnonzero(ending[ids]) + 1
+            if len(ends) != len(part):
+                cores.update(zip(part, alone(part), strict=True))
+                continue
+            raw, at = ids.tobytes(), 0
+            for word, end in zip(part, (4 * ends).tolist(), strict=True):
+                cores[word] = raw[at:end]
+                at = end
+
+    def learn(new: set[str]) -> None:
+        plain, rest = [], []
+        for w in new:
+            tail = w[-1:] if w[-1:] in (".", ",") else ""
+            core = w[: len(w) - len(tail)]
+            if core.isalpha() and len(core) <= longest:
+                plain.append((w, core.lower() if core.isascii() else core, tail))
+            else:
+                rest.append(w)
+        unknown = {core for _, core, _ in plain if core not in cores}
+        if len(cores) + len(unknown) > most_words:
+            cores.clear()
+            unknown = {core for _, core, _ in plain}
+        learn_cores(list(unknown))
+        for w, core, tail in plain:
+            cache[w] = cores[core] + marks[tail]
+        cache.update(zip(rest, alone(rest), strict=True))
 
     def encode(text: str) -> bytes:
-        words = text.split(" ") if "\n" not in text and "\t" not in text else text.replace("\n", " ").replace("\t", " ").split(" ")
+        words = text.replace("\n", " ").replace("\t", " ").split(" ")
         try:
             return b"".join([cache[w] for w in words])
         except KeyError:
             pass
-        new = list({w for w in words if w not in cache})
+        new = {w for w in words if w not in cache}
         if len(cache) + len(new) > most_words:
             cache.clear()
-            new = list(set(words))
-        for w, got in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            cache[w] = packed(got.ids)
+            new = set(words)
+        learn(new)
         out = b"".join([cache[w] for w in words])
         for w in new:
             if len(w) > longest:

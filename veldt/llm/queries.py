@@ -101,4 +101,6 @@ QUERIES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from veldt.llm import oracles
+
+    return oracles.oracle_sql()
