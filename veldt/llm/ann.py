@@ -98,7 +98,7 @@ def neighbours(
     vectors: vec_id, embedding (array of numbers); other columns are ignored. Returns query_id, rank
     (from 1), vec_id, score: the Euclidean distance of the original vectors in double precision.
     Nearest first, ties to the smaller vec_id. Null, empty and zero vectors, and those that hold a
-    null or non-finite component, take no part, as queries or otherwise; vectors of another length
+    null or non-finite component or have no id, take no part, as queries or otherwise; vectors of another length
     than the query's are not candidates. Rows that share the query's vec_id are its own; if a
     query's vec_id repeats, its least vector is the query. Fewer candidates than k give fewer rows;
     an empty table gives none.
@@ -106,7 +106,7 @@ def neighbours(
     Rows are dealt to blocks of about `block` vectors by a hash of their id, so no key is hot, and
     each block is searched by each block of queries: memory is bounded by the two block sizes.
     """
-    good = vectors.where(_usable("embedding")).select(
+    good = vectors.where(_usable("embedding") & F.col("vec_id").isNotNull()).select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")
     )
     counts = good.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
