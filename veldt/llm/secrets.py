@@ -22,7 +22,7 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 # Tokens of the battery, and a mark that each must hold: a change of class that words don't have.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
-CHANGE = r"[a-z0-9][A-Z]|[A-Za-z][0-9]"
+CHANGE = r"[A-Za-z][0-9]|[0-9][A-Za-z]"
 LEAST_VALUE = 12
 KINDS = ("assign", "access", "hex", "random")
 
