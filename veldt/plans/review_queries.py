@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veldt.functions import numeric
 from veldt.operators import enrich as E
 from veldt.operators import merge as M
 from veldt.operators import serving as V
 from veldt.operators import sixdim as X
+from veldt.operators import technology as T
+from veldt.plans import catalogue as C
 from veldt.plans import oracle as O
+from veldt.plans.risk_queries import _HOLD
 from veldt.registry import query
 from veldt.sources import adapter as A
 
@@ -131,3 +135,41 @@ def table_difference(spark, folder):
 def top_kinds_by_day(spark, folder):
     d = A.events(spark, folder).groupBy(F.col("event_date").alias("day"), "kind").agg(F.count("*").alias("n"))
     return V.top_k(d, ["day"], [F.col("n").desc(), F.col("kind")], 2).select("day", "kind", "n")
+
+
+# ---- technology baseline, display
+
+
+@query(f"""WITH {O.COMPANIES}, rules(rule_id, low_op, low, medium_op, medium) AS (VALUES {C.as_values([(a, b, f"{c}", d, f"{e}") for a, b, c, d, e in C.BASELINE_BANDS])}),
+v AS (SELECT company_id AS entity, rule_id, CASE WHEN s_suppkey % 8 <> 0 THEN CAST((s_suppkey * 11) % 90 AS DOUBLE) END AS value, low_op, CAST(low AS DOUBLE) AS low, medium_op, CAST(medium AS DOUBLE) AS medium FROM companies CROSS JOIN rules)
+SELECT entity, rule_id, value, CASE WHEN value IS NULL THEN NULL WHEN {_HOLD("value", "low_op", "low")} THEN 25 WHEN {_HOLD("value", "medium_op", "medium")} THEN 60 ELSE 85 END AS score FROM v""")
+def baseline_bands(spark, folder):
+    key, rules = F.col("s_suppkey"), C.baseline_bands(spark)
+    v = A.companies(spark, folder).join(F.broadcast(rules.select("rule_id")), F.lit(True)).select(
+        F.col("company_id").alias("entity"), "rule_id", F.when(key % 8 != 0, ((key * 11) % 90).cast("double")).alias("value")
+    )
+    return T.banded(v, rules)
+
+
+_D = "CAST({} AS DOUBLE)".format
+
+
+@query(f"""WITH {O.COMPANIES} SELECT company_id, {_D('s_suppkey')} AS papers, {_D('s_suppkey % 30')} AS valid_patents, floor({_D(100)} * (s_suppkey % 9) / nullif(s_suppkey % 13, 0) * 100 + {_D("'0.5'")}) / 100 AS rd_intensity,
+  floor({_D('s_suppkey % 50')} / nullif({_D('s_suppkey % 17')} / 100, 0) * 100 + {_D("'0.5'")}) / 100 AS ip_per_hundred, {_D('s_suppkey * 10')} AS contract_value, {_D("'0.25'")} AS negative_probability FROM companies""")
+def official_metrics(spark, folder):
+    key = F.col("s_suppkey")
+    inputs = A.companies(spark, folder).select(
+        "company_id", key.alias("papers"), (key % 30).alias("valid_patents"), (key % 9).alias("rd"), (key % 13).alias("revenue"), (key % 50).cast("double").alias("ip"),
+        (key % 17).cast("double").alias("staff"), (key * 10).alias("contract"), F.lit(0.25).alias("negative_probability"),
+    )
+    return T.official_metrics(inputs)
+
+
+@query("""WITH c AS (SELECT s_suppkey, CAST(s_suppkey % 101 AS DOUBLE) AS s FROM supplier), k AS (SELECT s_suppkey, s,
+  floor(CASE WHEN s <= 50 THEN 34 + 192 * s / 50 ELSE 226 - 25 * (s - 50) / 50 END + CAST('0.5' AS DOUBLE))::INT AS r,
+  floor(CASE WHEN s <= 50 THEN 139 + 26 * s / 50 ELSE 165 - 105 * (s - 50) / 50 END + CAST('0.5' AS DOUBLE))::INT AS g,
+  floor(CASE WHEN s <= 50 THEN 94 - 42 * s / 50 ELSE 52 + 8 * (s - 50) / 50 END + CAST('0.5' AS DOUBLE))::INT AS b FROM c)
+SELECT s_suppkey, '#' || lpad(lower(hex(r)), 2, '0') || lpad(lower(hex(g)), 2, '0') || lpad(lower(hex(b)), 2, '0') AS colour FROM k""")
+def heat_colours(spark, folder):
+    s = A.table(spark, folder, "supplier")
+    return s.select("s_suppkey", numeric.heat_colour((F.col("s_suppkey") % 101).cast("double")).alias("colour"))
