@@ -10,7 +10,8 @@ _RNG = np.random.Generator(np.random.PCG64(20240607))
 BYTE_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
-CHUNK = 1 << 20
+#: bytes handled at once: working arrays stay in a core's cache
+CHUNK = 1 << 16
 _powers: dict[int, np.ndarray] = {}
 
 

@@ -26,6 +26,8 @@ GRAM = 20
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
 BIN_BYTES = 2 << 20
+#: bytes of passages under one index: a bin is cut between anchors, for memory and speed
+INDEX_BYTES = 1 << 18
 
 
 class _Anchors:
@@ -142,6 +144,34 @@ def _passages(bins: int):
     return run
 
 
+def _portions(keys: np.ndarray, sizes: np.ndarray, most: int = INDEX_BYTES) -> list[slice]:
+    """Runs of passages, whole anchors each, of about `most` bytes."""
+    if not len(keys):
+        return []
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    ends = np.cumsum(sizes)
+    number = (ends[first] - sizes[first]) // most  # of an anchor's first passage
+    cuts = [*first[np.append(True, number[1:] != number[:-1])].tolist(), len(keys)]
+    return [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _mark(many, own, sizes, begin, text, least, marks, depth) -> None:
+    """Index some passages and set the bits of the windows that a smaller id has."""
+    size, first = sizes[own[many]], begin[own[many]]
+    end = np.cumsum(size + 1) - 1
+    start = end - size
+    buffer = np.zeros(int(end[-1]) + 1, np.uint8)
+    inside = np.ones(len(buffer), bool)
+    inside[end] = False
+    buffer[inside] = text[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+    index = RunIndex(buffer, start, end, least[many], depth)
+    for who, place, row, _, length in index.stream(start, end, buffer):
+        hit = np.flatnonzero((end[who] - place >= depth) & (length >= depth))
+        smaller = hit[index.least_label(row[hit]) < least[many[who[hit]]]]
+        offset = (place[smaller] - start[who[smaller]]).astype(np.uint64)
+        marks[many[who[smaller]]] |= np.uint64(1) << offset
+
+
 def _marked(depth: int):
     """Per bin: to each block, which windows of its passages a smaller id has."""
 
@@ -165,21 +195,9 @@ def _marked(depth: int):
         # a passage that is alone under its anchor shares no window with another
         anchor, back, times = np.unique(keys[own], return_inverse=True, return_counts=True)
         many = np.flatnonzero(times[back] > 1)
-        if len(many):
-            size, first = sizes[own[many]], begin[own[many]]
-            end = np.cumsum(size + 1) - 1
-            start = end - size
-            buffer = np.zeros(int(end[-1]) + 1, np.uint8)
-            inside = np.ones(len(buffer), bool)
-            inside[end] = False
-            buffer[inside] = text[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-            index = RunIndex(buffer, start, end, least[many], depth)
-            for who, place, row, _, length in index.stream(start, end, buffer):
-                left = end[who] - place
-                hit = np.flatnonzero((left >= depth) & (length >= depth))
-                smaller = hit[index.least_label(row[hit]) < least[many[who[hit]]]]
-                offset = (place[smaller] - start[who[smaller]]).astype(np.uint64)
-                marks[many[who[smaller]]] |= np.uint64(1) << offset
+        many = many[np.argsort(keys[own[many]], kind="stable")]
+        for part in _portions(keys[own[many]], sizes[own[many]]):
+            _mark(many[part], own, sizes, begin, text, least, marks, depth)
         full = (np.uint64(1) << (sizes - depth + 1).astype(np.uint64)) - np.uint64(1)
         each = np.where(ids > least[number], full, marks[number])
         out, at = [], 0
