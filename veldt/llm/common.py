@@ -40,24 +40,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def running_totals(
-    df: DataFrame, group: list[str], value: str, tie: list[str], rows: int, into: str = "before"
+    df: DataFrame, group: list[str], value: str, tie: list[str], rows: int, into: str = "before", slim: DataFrame | None = None
 ) -> DataFrame:
     """Add the sum of `value` over the rows of the same group that come earlier.
 
     Order within a group: a hash of the `tie` columns, then these columns. No window holds a whole
     group: rows fall into hash-ordered buckets, bucket sums are accumulated (about sqrt(rows) of
     them a group), and only a bucket's own rows are ordered, so that a group with a third of all
-    rows is spread like any other. Null groups are a group.
+    rows is spread like any other. Null groups are a group. `slim`, if given, has the same rows with
+    only the columns named, for the bucket sums.
     """
     bits = max(10, math.ceil(math.log2(max(rows, 1)) / 2))
-    keyed = df.withColumn("_order", F.xxhash64(*tie)).withColumn(
-        "_bucket", F.shiftrightunsigned("_order", 64 - bits)
-    )
-    for g in group:
-        keyed = keyed.withColumn(f"_no_{g}", F.col(g).isNull().cast("int"))
-        keyed = keyed.withColumn(f"_key_{g}", F.coalesce(F.col(g).cast("string"), F.lit("")))
+
+    def bucketed(rows_: DataFrame) -> DataFrame:
+        out = rows_.withColumn("_order", F.xxhash64(*tie)).withColumn("_bucket", F.shiftrightunsigned("_order", 64 - bits))
+        for g in group:
+            out = out.withColumn(f"_no_{g}", F.col(g).isNull().cast("int"))
+            out = out.withColumn(f"_key_{g}", F.coalesce(F.col(g).cast("string"), F.lit("")))
+        return out
+
+    keyed = bucketed(df)
     keys = [f"_{kind}_{g}" for g in group for kind in ("no", "key")]
-    sums = keyed.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_sum"))
+    sums = (keyed if slim is None else bucketed(slim)).groupBy(*keys, "_bucket").agg(F.sum(value).alias("_sum"))
     ahead = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(*keys, "_bucket", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_base"))
     within = (

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldt.llm.common import running_totals, word_count
+from veldt.llm.common import checkpointed, running_totals, word_count
 
 #: A source's words are repeated at most this often.
 MOST_REPEATS = 3
@@ -62,11 +62,15 @@ def _slope(slopes: tuple[float, ...]) -> F.Column:
     return F.get(F.array(*(F.lit(float(s)) for s in slopes)), key)
 
 
-def _planned(docs: DataFrame, cycle, cap: float, slopes: tuple[float, ...]) -> DataFrame:
-    """docs with size, source_size, target, taken and position."""
-    sized = docs.withColumn("size", word_count("text"))
-    targets = source_targets(sized, cycle, cap)
-    placed = running_totals(sized, ["source"], "size", ["doc_id", "size"], docs.count(), "_before")
+def _sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size: written once, so that no text is split again for the targets."""
+    return checkpointed(docs.select("doc_id", "source", word_count("text").alias("size")))
+
+
+def _planned(sized: DataFrame, slim: DataFrame, cycle, cap: float, slopes: tuple[float, ...]) -> DataFrame:
+    """sized, which has doc_id, source and size, with source_size, target, taken and position."""
+    targets = source_targets(slim, cycle, cap)
+    placed = running_totals(sized, ["source"], "size", ["doc_id", "size"], slim.count(), "_before", slim)
     joined = _with_targets(placed, targets)
     want = F.floor(F.col("target") + 0.5)
     size_all = F.greatest(F.col("source_size"), F.lit(1))
@@ -86,8 +90,9 @@ def _planned(docs: DataFrame, cycle, cap: float, slopes: tuple[float, ...]) -> D
 def _with_targets(placed: DataFrame, targets: DataFrame, bound: int = 20_000) -> DataFrame:
     """Join by source, nulls equal. The targets are broadcast only if they are at most `bound` rows."""
     few = targets.limit(bound + 1).count() <= bound
-    on = placed["source"].eqNullSafe(targets["source"])
-    return placed.join(F.broadcast(targets) if few else targets, on).drop(targets["source"])
+    named = targets.withColumnRenamed("source", "_of")
+    on = F.col("source").eqNullSafe(F.col("_of"))
+    return placed.join(F.broadcast(named) if few else named, on).drop("_of")
 
 
 def mix(
@@ -105,7 +110,8 @@ def mix(
     the same doc_id and size are each a document; ties change which of the equal rows is read more,
     never how much. An empty table gives no rows.
     """
-    planned = _planned(docs.select("doc_id", "text", "source"), cycle, cap, slopes)
+    sizes = _sizes(docs)
+    planned = _planned(sizes, sizes, cycle, cap, slopes)
     kept = ["doc_id", "size", "source", "source_size", "target", "taken", "position"]
     return planned.select(*kept).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
@@ -120,7 +126,7 @@ def mixed_documents(
     """
     names = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias(c if c in ("doc_id", "text", "source") else f"own_{c}") for c in names])
-    planned = _planned(inner, cycle, cap, slopes).where("taken > 0")
+    planned = _planned(inner.withColumn("size", word_count("text")), _sizes(docs), cycle, cap, slopes).where("taken > 0")
     full = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
     left = (F.col("taken") - full * F.col("size")).cast("int")
     none = F.array().cast("array<int>")
