@@ -9,6 +9,8 @@ allow. Pieces are then dealt to the slots of their length by their rank, without
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -130,12 +132,15 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             ids: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = encode(text or "") + end
-                for piece, at in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[at : at + 4 * capacity]
-                    for column, value in zip(ids, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        column.append(value)
+            for at in range(0, len(batch), 250):
+                some = batch.slice(at, 250)
+                texts = [t or "" for t in some.column(1).to_pylist()]
+                for doc_id, tokens in zip(some.column(0).to_pylist(), encode(texts), strict=True):
+                    data = tokens + end
+                    for piece, at_byte in enumerate(range(0, len(data), 4 * capacity)):
+                        part = data[at_byte : at_byte + 4 * capacity]
+                        for column, value in zip(ids, (doc_id, piece, at_byte // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                            column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip(ids, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
                 [x.split()[0] for x in schema.split(", ")],
@@ -144,70 +149,78 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def word_encoder(path: str, most_words: int = 300_000, longest: int = 64, together: int = 500):
-    """text -> bytes of its ids, little-endian unsigned 32-bit; no special tokens.
+#: what may stand behind a word's letters as a piece of its own; an apostrophe begins other pieces
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    Words between blanks are looked up in a bounded cache. A word of letters with a comma or full
-    stop behind it is two pieces to this kind of vocabulary, and case is dropped by it, so such words
-    share their core's ids. New cores of letters are encoded many to a call and told apart by the
-    ids that end a word; where the ends don't add up, and for all other words, each is encoded alone.
+
+@functools.lru_cache(maxsize=2)
+def word_encoder(path: str, most_words: int = 500_000, longest: int = 64, together: int = 1000):
+    """texts -> for each the bytes of its ids, little-endian unsigned 32-bit; no special tokens.
+
+    Words between blanks are looked up in a bounded cache of two generations: a full one becomes the
+    old one, from which words still in use come back. It lives as long as the worker process, over
+    all tasks that this runs. A word of letters with marks behind it is two pieces to this kind of
+    vocabulary, and case is dropped by it, so such words share their letters' ids. New ones are
+    encoded many to a call and told apart by the ids that end a word; where the ends don't add up,
+    and for all other words, each is encoded alone.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     ending = np.zeros(tokenizer.get_vocab_size() + 1, bool)
     ending[[i for w, i in tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+    cache: dict[str, bytes] = {}
+    old: dict[str, bytes] = {}
 
     def alone(words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    marks = dict(zip(("", ".", ","), alone(["", ".", ","]), strict=True))
-    cache: dict[str, bytes] = {}
-    cores: dict[str, bytes] = {}
-
-    def learn_cores(new: list[str]) -> None:
-        parts = [new[i : i + together] for i in range(0, len(new), together)]
+    def letters(words: list[str]) -> dict[str, bytes]:
+        out = {}
+        parts = [words[i : i + together] for i in range(0, len(words), together)]
         for part, got in zip(parts, tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, "<u4")
-            ends = np.flatnonzero(ending[ids]) + 1
+            ends = (4 * (np.flatnonzero(ending[ids]) + 1)).tolist()
             if len(ends) != len(part):
-                cores.update(zip(part, alone(part), strict=True))
+                out.update(zip(part, alone(part), strict=True))
                 continue
-            raw, at = ids.tobytes(), 0
-            for word, end in zip(part, (4 * ends).tolist(), strict=True):
-                cores[word] = raw[at:end]
-                at = end
+            raw = ids.tobytes()
+            out.update(zip(part, [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+        return out
+
+    def plain(word: str) -> bool:
+        """Whether the vocabulary's own clean-up leaves only letters; a mark that it splits off would join those behind."""
+        return unicodedata.normalize("NFC", word).lower().isalpha()
+
+    def known(words: set[str]) -> set[str]:
+        """Those that are not cached, after a look at the old generation."""
+        new = {w for w in words if w not in cache}
+        back = {w: old[w] for w in new if w in old}
+        cache.update(back)
+        return new - back.keys() if back else new
 
     def learn(new: set[str]) -> None:
-        plain, rest = [], []
-        for w in new:
-            tail = w[-1:] if w[-1:] in (".", ",") else ""
-            core = w[: len(w) - len(tail)]
-            if core.isalpha() and len(core) <= longest:
-                plain.append((w, core.lower() if core.isascii() else core, tail))
-            else:
-                rest.append(w)
-        unknown = {core for _, core, _ in plain if core not in cores}
-        if len(cores) + len(unknown) > most_words:
-            cores.clear()
-            unknown = {core for _, core, _ in plain}
-        learn_cores(list(unknown))
-        for w, core, tail in plain:
-            cache[w] = cores[core] + marks[tail]
+        cores = {w: w.rstrip(_MARKS) for w in new}
+        cores = {w: c.lower() if c.isascii() else c for w, c in cores.items() if c.isalpha() and len(w) <= longest and (c.isascii() or plain(c))}
+        cache.update(letters(list(known(set(cores.values())))))
+        marked = [w for w, c in cores.items() if len(w) > len(c)]
+        tails = list({w[len(cores[w]) :] for w in marked})
+        tails = dict(zip(tails, alone(tails), strict=True))
+        cache.update({w: cache[cores[w]] + tails[w[len(cores[w]) :]] for w in marked})
+        cache.update({w: cache[c] for w, c in cores.items() if w != c and len(w) == len(c)})
+        rest = [w for w in new if w not in cores]
         cache.update(zip(rest, alone(rest), strict=True))
 
-    def encode(text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").split(" ")
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            pass
-        new = {w for w in words if w not in cache}
+    def encode(texts: list[str]) -> list[bytes]:
+        nonlocal cache, old
+        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        words = set().union(*split)
+        new = known(words)
         if len(cache) + len(new) > most_words:
-            cache.clear()
-            new = set(words)
+            cache, old = {}, cache
+            new = known(words)
         learn(new)
-        out = b"".join([cache[w] for w in words])
+        out = [b"".join([cache[w] for w in own]) for own in split]
         for w in new:
             if len(w) > longest:
                 del cache[w]
