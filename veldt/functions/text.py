@@ -29,12 +29,12 @@ def namespaced(group: Column, name: Column) -> Column:
 
 def aliases(c: Column) -> Column:
     """Parts between semicolons, trimmed, empty ones dropped."""
-    return F.filter(F.transform(F.split(c, ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def evidence_ids(c: Column) -> Column:
     """Parts between any of / 、 , ， ; ；, trimmed, empty ones dropped."""
-    return F.filter(F.transform(F.split(c, "[/、,，;；]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, "[/、,，;；]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def indicator_or_null(c: Column) -> Column:
