@@ -67,3 +67,66 @@ def test_bad_hosts_are_blocked_whatever_the_join(spark):
     for bound in (0, 1000):
         got = {r.page_id: r.verdict for r in url_filter(df, labels, broadcast_bound=bound).collect()}
         assert got == {i: "block" if i < 200 else "allow" for i, _ in pages}
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_equal_measures_are_not_equal_hashes():
+    from veldt.llm.quality import LineRules, measured
+
+    for n in (1024, 4096):
+        a, b = thue_morse(n)
+        m = measured([f"{a}\n{b}".encode(), f"{a} x y {b} x y".encode(), f"{a} x y {a} x y".encode()], LineRules())
+        assert m["n_dup_lines"].tolist() == [0, 0, 0]
+        assert m["n_repeat_words"].tolist() == [0, 0, 6]
+
+
+def test_boilerplate_needs_whole_words_and_a_short_line():
+    from veldt.llm.quality import LineRules, measured
+
+    def failed(line):
+        return bool(len(measured([line.encode()], LineRules())["lines"]))
+
+    assert failed("Click here") and failed("Haga clic, por favor") and failed("\u00a9 Copyright 2024")
+    assert not failed("They assign in turn, a design in blue.") and not failed("The catalog in print spread more.")
+    assert not failed("An article on copyright, with many more words than any notice at the foot of a page would ever have.")
+    assert failed(" ".join(["word"] * 25)) and not failed(" ".join(["word"] * 25) + ".") and not failed(" ".join(["\u6f22"] * 25) + "\u3002")
+
+
+def test_a_very_long_text_and_url(spark):
+    text = " ".join(f"w{i % 9973}" for i in range(400_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = quality(df).first()
+    assert got.n_words == 400_000 and got.n_repeat_words == 400_000 and got.base_failed
+    page = spark.createDataFrame([(1, "http://x.example.com/fr/" + "p" * 1_000_000)], "page_id long, url string")
+    assert url_filter(page).first().rule == "com/fr/"
+
+
+def test_reputation_is_fitted_and_shrunk(spark):
+    """Unlabelled hosts of a domain that is bad throughout are blocked; under co.uk no site answers for another."""
+    outcomes = [(f"h{i}.bad.net", 0) for i in range(30) for _ in range(5)] + [(f"h{i}.good.net", 1) for i in range(30) for _ in range(5)]
+    outcomes += [("a.co.uk", 0)] * 40 + [("c.co.uk", 1)] * 40
+    pages = [(1, "http://new.bad.net/"), (2, "http://new.good.net/"), (3, "http://b.co.uk/"), (4, "http://a.co.uk/x"), (5, "http://w.c.co.uk/x")]
+    df, labels = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(outcomes, "host string, good int")
+    got = {r.page_id: r for r in url_filter(df, labels).collect()}
+    assert [got[i].verdict for i in range(1, 6)] == ["block", "allow", "allow", "block", "allow"]
+    assert got[1].n_labelled == 0 and got[1].upper_bound < 0.5 < got[3].upper_bound
+
+
+def test_beta_quantile_is_near_the_true_one(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from veldt.llm.urls import beta_upper
+
+    x = (np.arange(200_000) + 0.5) / 200_000
+    for a, b in ((1, 1), (2, 5), (1, 30), (30, 2), (40, 60)):
+        density = np.exp((a - 1) * np.log(x) + (b - 1) * np.log1p(-x))
+        true = x[np.searchsorted(np.cumsum(density) / density.sum(), 0.95)]
+        got = spark.range(1).select(beta_upper(F.lit(float(a)), F.lit(float(b)))).first()[0]
+        assert -0.012 < got - true < 0.03, (a, b, got, true)

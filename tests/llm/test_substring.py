@@ -55,3 +55,15 @@ def test_odd_documents(spark, odd_documents):
     got = without_repeats(odd_documents).collect()
     assert sorted((2**63 if r[0] is None else r[0], *r[1:]) for r in got) == brute(rows, 20)
     assert without_repeats(odd_documents.limit(0)).count() == 0
+
+
+def test_complementary_words_and_sequences_are_different(spark):
+    """Thue-Morse words and their complements, which polynomial hashes confuse, as words and as sequences of words."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    flip = word.translate(str.maketrans("ab", "ba"))
+    plain = " ".join(f"x{i}" for i in range(19))
+    rows = [(1, f"{plain} {word}"), (2, f"{plain} {flip}"), (3, " ".join(word[:64])), (4, " ".join(flip[:64])), (5, f"{plain} {word[:1024]}"), (6, f"{plain} {flip[:1024]}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in without_repeats(df).collect()) == brute(rows, 20)

@@ -1,30 +1,17 @@
-"""Vectorised hashing of bytes, words and word windows over blocks of documents (numpy)."""
+"""Vectorised numbering and hashing of bytes, words and word windows over blocks of documents (numpy)."""
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
+import xxhash
 
+_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
-_RNG = np.random.Generator(np.random.PCG64(20240607))
-BYTE_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 #: bytes handled at once: working arrays stay in a core's cache
 CHUNK = 1 << 16
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power_table(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 .. n-1 modulo 2**64, kept between calls."""
-    got = _powers.get(int(base))
-    if got is None or len(got) < n:
-        size = max(n, CHUNK + 4096)
-        got = np.full(size, base, np.uint64)
-        got[0] = 1
-        got = np.multiply.accumulate(got, dtype=np.uint64)
-        _powers[int(base)] = got
-    return got[:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -36,6 +23,9 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_BYTE_CODES = mixed(np.arange(1, 257, dtype=np.uint64) * _LEFT)
+
+
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One buffer of all texts, a blank after each; where each starts; where it ends."""
     sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
@@ -52,41 +42,75 @@ def word_spans(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
 
-def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of the buffer; spans are in order of their starts and may overlap."""
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        low = starts[at]
-        upto = max(at + 1, int(np.searchsorted(starts, low + CHUNK)))
-        high = int(ends[at:upto].max())
-        values = BYTE_VALUE[buffer[low:high]] * _power_table(BASE, int(high - low))
-        total = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values, out=total[1:])
-        a, b = starts[at:upto] - low, ends[at:upto] - low
-        h = (total[b] - total[a]) * _power_table(_INVERSE, int(a[-1]) + 1)[a]
-        out[at:upto] = mixed(h + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        at = upto
-    return out
+def word_numbers(texts: list[bytes]) -> np.ndarray:
+    """A number for each word of all texts, in order: equal words, and only these, have the same."""
+    table: dict[bytes, int] = {}
+    number = table.setdefault
+    return np.array([number(w, len(table)) for t in texts for w in t.split()], np.int64)
+
+
+def pair_numbers(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair (a[i], b[i]): equal pairs, and only these, have the same."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    return np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1]
+
+
+def word_prints(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """XXH3 hash of each word of all texts, in order, and the number of words of each text.
+
+    Each distinct word is hashed once.
+    """
+    table: dict[bytes, int] = {}
+    split = [t.split() for t in texts]
+    for words in split:
+        for w in set(words).difference(table):
+            table[w] = xxhash.xxh3_64_intdigest(w)
+    number = table.__getitem__
+    counts = np.fromiter(map(len, split), np.int64, len(split))
+    return np.fromiter(chain.from_iterable(map(number, words) for words in split), np.uint64, int(counts.sum())), counts
+
+
+def joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hash of pairs, not linear in either side and not symmetric."""
+    return mixed(mixed(a + _LEFT) * _RIGHT + b)
 
 
 def windows(values: np.ndarray, width: int) -> np.ndarray:
-    """Polynomial hash of each run of `width` values; len(values) - width + 1 of them, not mixed."""
+    """Hash of each run of `width` values; len(values) - width + 1 of them.
+
+    Runs of 1, 2, 4 .. values are hashed from two halves, and a width from its binary parts; every
+    step is a full 64-bit mix, so runs that repeat or complement a pattern don't cancel out.
+    """
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    power, size, block, out, done = BASE, 1, values, None, 0
-    factor = np.uint64(1)  # BASE ** done
+    size, block, out, done = 1, values, None, 0
+    while True:
+        if width & size:
+            part = block[done : done + n]
+            out = part if out is None else joint(out, part)
+            done += size
+        if size * 2 > width:
+            return mixed(out)
+        block = joint(block[:-size], block[size:])
+        size *= 2
+
+
+def gram_codes(buffer: np.ndarray, width: int) -> np.ndarray:
+    """A cheap code of each run of `width` bytes, to choose places by; it never decides equality."""
+    n = len(buffer) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    size, block, out, done = 1, _BYTE_CODES[buffer], None, 0
     while True:
         if width & size:
-            part = block[done : done + n] * factor
-            out = part if out is None else out + part
+            part = block[done : done + n]
+            out = part if out is None else out * _LEFT + part
             done += size
-            factor = np.uint64(pow(int(BASE), done, 2**64))
         if size * 2 > width:
-            return out
-        block = block[:-size] + block[size:] * np.uint64(power)
-        power = np.uint64(pow(int(BASE), size * 2, 2**64))
+            return mixed(out)
+        block = (block[:-size] ^ (block[:-size] >> np.uint64(29))) * _LEFT + block[size:]
         size *= 2
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from veldt.llm.quality import LineRules
-from veldt.llm.urls import LEAST_GOOD, RULES, STRENGTH, Z
+from veldt.llm.quality import OTHER_PUNCTUATION, PUNCTUATION, LineRules
+from veldt.llm.urls import LEAST_GOOD, LEAST_STRENGTH, MOST_STRENGTH, RULES, STRENGTH, Z, registered
 
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -18,25 +19,48 @@ def url_filter_sql() -> str:
         fits = f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
         text = f"CASE WHEN {fits} THEN '{host + path}' ELSE {text} END"
         verdict = f"CASE WHEN {fits} THEN '{kind}' ELSE {verdict} END"
-    s = _d(STRENGTH)
+    name = registered()
+
+    def strength(table: str) -> str:
+        ratio = "sum((good - n * m) * (good - n * m) - n * m * (1 - m)) / sum(n * (n - 1) * m * (1 - m))"
+        fitted = f"CASE WHEN sum(n * (n - 1) * m * (1 - m)) > 0 THEN {ratio} END"
+        return (
+            f"(SELECT CASE WHEN r IS NULL THEN {_d(STRENGTH)} WHEN r <= {_d(1 / (MOST_STRENGTH + 1))} THEN {_d(MOST_STRENGTH)} "
+            f"ELSE greatest({_d(LEAST_STRENGTH)}, 1 / r - 1) END AS s FROM (SELECT {fitted} AS r FROM {table} WHERE n > 1))"
+        )
+
+    a, b, y = f"greatest(good + s * m, {_d(1)})", f"greatest(n - good + s * (1 - m), {_d(1)})", _d(-Z)
+    lam = f"(({y} * {y} - 3) / 6)"
     return rf"""
 WITH rest AS (SELECT page_id, CASE WHEN url IS NOT NULL AND contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
-parts AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+parts AS (SELECT page_id, {_LOW.format("regexp_extract(r, '^[^/?#]*')")} AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
 ruled AS (SELECT *, {text} AS rule, {verdict} AS ruled FROM parts),
-hosts AS (SELECT host, regexp_extract(host, '([^.]*\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix, count(ruled) AS n, count(*) FILTER (ruled = 'allow') AS good FROM ruled GROUP BY 1),
+hosts AS (SELECT host, regexp_extract(host, '{name}') AS domain, regexp_extract(host, '{name}', 2) AS suffix, count(ruled) AS n, count(*) FILTER (ruled = 'allow') AS good FROM ruled GROUP BY 1),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY 1, 2),
 x AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM d GROUP BY 1),
 r AS (SELECT (sum(good) + {_d(1)}) / (sum(n) + {_d(2)}) AS m FROM x),
-xm AS (SELECT suffix, (x.good + {s} * r.m) / (x.n + {s}) AS m FROM x, r),
-dm AS (SELECT domain, (d.good + {s} * xm.m) / (d.n + {s}) AS m FROM d JOIN xm USING (suffix)),
-hm AS (SELECT host, n, (hosts.good + {s} * dm.m) / (hosts.n + {s}) AS m FROM hosts JOIN dm USING (domain)),
-b AS (SELECT host, n, m, m + {_d(Z)} * sqrt(m * (1 - m) / (n + {s} + 1)) AS upper_bound FROM hm)
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN upper_bound < {_d(LEAST_GOOD)} THEN 'block' ELSE 'allow' END) AS verdict,
-  n AS n_labelled, round(m, 9) AS good_rate, round(upper_bound, 9) AS upper_bound FROM ruled JOIN b USING (host)"""
+x1 AS (SELECT x.*, r.m FROM x, r),
+x2 AS (SELECT suffix, (good + s * m) / (n + s) AS m FROM x1, {strength("x1")}),
+d1 AS (SELECT d.*, x2.m FROM d JOIN x2 USING (suffix)),
+d2 AS (SELECT domain, suffix, (good + s * m) / (n + s) AS m FROM d1, {strength("d1")}),
+h1 AS (SELECT hosts.*, d2.m FROM hosts JOIN d2 USING (domain, suffix)),
+h2 AS (SELECT host, n, (good + s * m) / (n + s) AS mean, {a} AS a, {b} AS b FROM h1, {strength("h1")}),
+q AS (SELECT *, 2 / (1 / (2 * a - 1) + 1 / (2 * b - 1)) AS h FROM h2),
+w AS (SELECT *, {y} * sqrt(h + {lam}) / h - (1 / (2 * b - 1) - 1 / (2 * a - 1)) * ({lam} + {_d(5)} / 6 - {_d(2)} / (3 * h)) AS w FROM q),
+u AS (SELECT host, n, mean, a / (a + b * exp(2 * w)) AS upper_bound FROM w)
+SELECT page_id, ruled.host, path, rule, coalesce(ruled, CASE WHEN upper_bound < {_d(LEAST_GOOD)} THEN 'block' ELSE 'allow' END) AS verdict,
+  n AS n_labelled, round(mean, 9) AS good_rate, round(upper_bound, 9) AS upper_bound FROM ruled JOIN u USING (host)"""
 
 
 def quality_sql(rules: LineRules = LineRules()) -> str:
-    phrases = "|".join(rules.phrases)
+    edge = r"[^a-z0-9\x{80}-\x{10FFFF}]"
+    by_size: dict[int, list[str]] = {}
+    for p in rules.phrases:
+        by_size.setdefault(len(p.split()), []).append(p)
+    phrases = " OR ".join(
+        f"(len(ws) <= {n * rules.phrase_share} AND regexp_matches({_LOW.format('line')}, '(^|{edge})({'|'.join(ps)})($|{edge})'))" for n, ps in by_size.items()
+    )
+    marks = PUNCTUATION.decode() + OTHER_PUNCTUATION
     return rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
 w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM t),
@@ -47,9 +71,9 @@ chars AS (SELECT doc_id, count(*) AS n_words, sum(length(word))::BIGINT AS word_
 l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM t)),
 m AS (SELECT doc_id, line, regexp_extract_all(line, '{_WORD}') AS ws, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) AS nth FROM l),
 f AS (SELECT doc_id, nth > 1 AS dup, length(array_to_string(ws, '')) AS c, len(ws) AS words,
-  nth > 1 OR length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) >= {_d(rules.symbols)} * strlen(line)
+  nth > 1 OR length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) >= {_d(rules.symbols)} * length(line)
   OR (length(regexp_replace(line, '[^|>]', '', 'g')) >= {rules.separators} AND length(regexp_replace(line, '[^|>]', '', 'g')) >= {_d(rules.separator_share)} * len(ws))
-  OR regexp_matches(line, '(?i)({phrases})') AS failed FROM m WHERE len(ws) > 0),
+  OR (len(ws) >= {rules.bare_words} AND NOT regexp_matches(line, '[{marks}]')) OR {phrases} AS failed FROM m WHERE len(ws) > 0),
 lines AS (SELECT doc_id, count(*) FILTER (dup) AS n_dup_lines, count(*) FILTER (failed) AS n_lost_lines, coalesce(sum(c) FILTER (failed), 0)::BIGINT AS lost_chars,
   coalesce(sum(words) FILTER (failed), 0)::BIGINT AS lost_words FROM f GROUP BY 1),
 a AS (SELECT t.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,

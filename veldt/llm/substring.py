@@ -3,7 +3,7 @@
 Every document is cut into reference blocks of 10 words, one after the other; any window of 20 words
 holds a whole one. The blocks are indexed, and all rolling windows of 10 words probe the index. A
 block that is met anywhere else is extended to the 20-word windows around it, and these are compared
-by fingerprint with the windows around the blocks it met, so that consecutive equal windows make up
+by 128-bit hashes with the windows around the blocks it met, so that consecutive equal windows make up
 the maximal exact repeats. The first of equal windows, by document and start, stays.
 """
 
@@ -17,7 +17,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 
-from veldt.llm.bytesio import covered, joined, mixed, owner, span_hashes, windows, word_spans
+from veldt.llm.bytesio import covered, mixed, windows, word_prints
 from veldt.llm.common import pack_plain, pack_sorted, unpack_plain, unpack_sorted
 from veldt.llm.exchange import KEY_BITS, answers, blocked, bucket_edges, in_order, member, with_nulls
 
@@ -25,6 +25,7 @@ WINDOW = 20
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
 _ALIGNED, _TWICE = 1, 2
+_OTHER = np.uint64(0xA5A5F00D5EEDC0DE)
 
 
 class _Words:
@@ -32,18 +33,19 @@ class _Words:
 
     def __init__(self, pdf: pd.DataFrame):
         self.ids, self.texts = in_order(pdf)
-        buffer, starts, _ = joined(self.texts)
-        word_starts, word_ends = word_spans(buffer)
-        self.hashes = span_hashes(buffer, word_starts, word_ends)
-        self.doc = owner(starts, word_starts)
-        self.counts = np.bincount(self.doc, minlength=len(self.ids))
+        self.hashes, self.counts = word_prints(self.texts)
+        self.doc = np.repeat(np.arange(len(self.ids)), self.counts)
         self.first = np.cumsum(self.counts) - self.counts
 
     def rolling(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of the windows that lie in one document, and their mixed hashes."""
+        """Starts of the windows that lie in one document, and their hashes."""
         values = windows(self.hashes, width)
         starts = np.flatnonzero(self.doc[: len(values)] == self.doc[width - 1 :][: len(values)])
-        return starts, mixed(values[starts])
+        return starts, values[starts]
+
+    def second(self, width: int, starts: np.ndarray) -> np.ndarray:
+        """Other hashes of the same windows: with the first, 128 bits."""
+        return windows(mixed(self.hashes ^ _OTHER), width)[starts]
 
     def blocks(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and truncated keys of all rolling windows; which of them are reference blocks."""
@@ -102,7 +104,7 @@ def _extended(window: int, buckets: int):
     """Per block: fingerprints of all windows around blocks that were met, each with its least id."""
 
     def run(docs: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"bucket": [], "block": [], "prints": [], "ids": []})
+        none = pd.DataFrame({"bucket": [], "block": [], "prints": [], "seconds": [], "ids": []})
         if not len(docs) or not len(met):
             return none
         words = _Words(docs)
@@ -117,14 +119,19 @@ def _extended(window: int, buckets: int):
         place, prints = place[picked], prints[picked]
         if not len(place):
             return none
-        order = np.argsort(prints, kind="stable")
-        prints = prints[order]
+        seconds = words.second(window, place)
+        order = np.lexsort((seconds, prints))  # stable: the first of equals has the least id
+        prints, seconds = prints[order], seconds[order]
         new = np.ones(len(prints), bool)
-        new[1:] = prints[1:] != prints[:-1]
-        prints, ids = prints[new], words.ids[words.doc[place[order[new]]]]
+        new[1:] = (prints[1:] != prints[:-1]) | (seconds[1:] != seconds[:-1])
+        prints, seconds, ids = prints[new], seconds[new], words.ids[words.doc[place[order[new]]]].view(np.uint64)
         edges = bucket_edges(prints, buckets, 64)
-        rows = [(b, pack_sorted(prints[x:y]), pack_plain(ids[x:y].view(np.uint64))) for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if x < y]
-        return pd.DataFrame({"bucket": [r[0] for r in rows], "block": int(docs["block"].iloc[0]), "prints": [r[1] for r in rows], "ids": [r[2] for r in rows]})
+        rows = [
+            (b, pack_sorted(prints[x:y]), pack_plain(seconds[x:y]), pack_plain(ids[x:y]))
+            for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if x < y
+        ]
+        out = {n: [r[i] for r in rows] for i, n in enumerate(("bucket", "prints", "seconds", "ids"))}
+        return pd.DataFrame(out).assign(block=int(docs["block"].iloc[0]))[list(none.columns)]
 
     return run
 
@@ -137,20 +144,21 @@ def _between(low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
 
 
 def _earlier(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per bucket: to each block, those of its fingerprints that a smaller id elsewhere has."""
+    """Per bucket: to each block, those of its windows that a smaller id elsewhere has; all 128 bits are compared."""
     prints = [unpack_sorted(b) for b in pdf["prints"]]
-    ids = [unpack_plain(b).view(np.int64) for b in pdf["ids"]]
-    every, who = np.concatenate(prints), np.concatenate(ids)
-    order = np.lexsort((who, every))
-    every, who = every[order], who[order]
-    new = np.ones(len(every), bool)
-    new[1:] = every[1:] != every[:-1]
-    every, who = every[new], who[new]
-    out = []
-    for block, p, i in zip(pdf["block"], prints, ids, strict=True):
-        own = p[who[np.searchsorted(every, p)] < i]
+    every, seconds = np.concatenate(prints), np.concatenate([unpack_plain(b) for b in pdf["seconds"]])
+    ids = np.concatenate([unpack_plain(b).view(np.int64) for b in pdf["ids"]])
+    order = np.lexsort((ids, seconds, every))
+    new = np.ones(len(order), bool)
+    new[1:] = (every[order][1:] != every[order][:-1]) | (seconds[order][1:] != seconds[order][:-1])
+    least = np.empty(len(order), np.int64)
+    least[order] = ids[order][new][np.cumsum(new) - 1]
+    out, at = [], 0
+    for block, p in zip(pdf["block"], prints, strict=True):
+        own = p[least[at : at + len(p)] < ids[at : at + len(p)]]
+        at += len(p)
         if len(own):
-            out.append((block, pack_sorted(own)))
+            out.append((block, pack_sorted(np.unique(own))))
     return pd.DataFrame({"block": [x[0] for x in out], "keys": [x[1] for x in out]})
 
 
@@ -197,14 +205,14 @@ def without_repeats(
     which neither is the earlier. Texts are taken whole; one must fit in a task. `window` is even.
     An empty table gives no rows.
 
-    Windows are compared by 64-bit fingerprints; a false match needs two different windows of the
-    corpus to collide in all 64 bits.
+    Windows of different documents are compared by 128 bits of two hashes, of words that are hashed by
+    XXH3 and mixed in full at every step; windows inside one block of documents by 64 of them.
     """
     rows, _, buckets = blocked(docs, block_bytes, bucket_bytes)
     sent = rows.groupBy("block").applyInPandas(_indexed_and_probed(window, buckets), "bucket int, block int, keys binary, flags binary")
     met = sent.groupBy("bucket").applyInPandas(_met, "block int, keys binary")
     asked = rows.groupBy("block").cogroup(met.groupBy("block")).applyInPandas(
-        _extended(window, buckets), "bucket int, block int, prints binary, ids binary"
+        _extended(window, buckets), "bucket int, block int, prints binary, seconds binary, ids binary"
     )
     earlier = asked.groupBy("bucket").applyInPandas(_earlier, "block int, keys binary")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")

@@ -13,10 +13,11 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
-from veldt.llm.bytesio import BYTE_VALUE, CHUNK, covered, joined, mixed, owner, span_hashes, windows
+from veldt.llm.bytesio import CHUNK, covered, gram_codes, joined, owner
 from veldt.llm.common import pack_plain, pack_sorted, unpack_plain, unpack_sorted
 from veldt.llm.exchange import KEY_BITS, answers, blocked, bucket_edges, in_order, member, with_nulls
 from veldt.llm.runindex import RunIndex
@@ -43,7 +44,7 @@ class _Anchors:
         last_start = self.ends - depth  # of each document; windows may start up to here
         for low in range(0, max(n, 0), CHUNK):
             high = min(low + CHUNK, n)
-            hashes = mixed(windows(BYTE_VALUE[self.buffer[low : high + depth - 1]], gram))
+            hashes = gram_codes(self.buffer[low : high + depth - 1], gram)
             # the hash above, the place below: the least is the leftmost of the least
             packed = (hashes >> np.uint64(22) << np.uint64(22)) | np.arange(len(hashes), dtype=np.uint64)
             size = 1
@@ -69,9 +70,11 @@ class _Anchors:
             self.first = self.last = self.doc = np.zeros(0, np.int64)
             self.keys = np.zeros(0, np.uint64)
 
-    def passages(self) -> np.ndarray:
-        """Fingerprint of the bytes of all windows of each run."""
-        return span_hashes(self.buffer, self.first, self.last + self.depth)
+    def passages(self, which: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """XXH3 fingerprint of the bytes of all windows of each run."""
+        whole, digest = self.buffer.tobytes(), xxhash.xxh3_64_intdigest
+        first, end = self.first[which].tolist(), (self.last[which] + self.depth).tolist()
+        return np.fromiter((digest(whole[a:b]) for a, b in zip(first, end, strict=True)), np.uint64, len(first))
 
 
 def _zip(raw: bytes) -> bytes:
@@ -123,7 +126,7 @@ def _passages(bins: int):
             return none
         anchors = _Anchors(docs)
         used = np.flatnonzero(member(anchors.keys, answers(shared)))
-        prints = anchors.passages()[used]
+        prints = anchors.passages(used)
         _, at = np.unique(prints, return_index=True)  # the first: documents are in order of id
         used, prints = used[at], prints[at]
         order = np.argsort(anchors.keys[used], kind="stable")
@@ -155,6 +158,21 @@ def _portions(keys: np.ndarray, sizes: np.ndarray, most: int = INDEX_BYTES) -> l
     return [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def _same(a: np.ndarray, b: np.ndarray, prints: np.ndarray, begin: np.ndarray, sizes: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Whether passages a[i] and b[i] are the same bytes; bytes are compared where the fingerprints agree."""
+    same = (prints[a] == prints[b]) & (sizes[a] == sizes[b])
+    at = np.flatnonzero(same)
+    for part in np.array_split(at, max(1, int(sizes[a[at]].sum()) >> 22)):
+        if not len(part):
+            continue
+        size = sizes[a[part]]
+        first = np.cumsum(size) - size
+        step = np.arange(int(size.sum())) - np.repeat(first, size)
+        equal = text[np.repeat(begin[a[part]], size) + step] == text[np.repeat(begin[b[part]], size) + step]
+        same[part] = np.logical_and.reduceat(equal, first)
+    return same
+
+
 def _mark(many, own, sizes, begin, text, least, marks, depth) -> None:
     """Index some passages and set the bits of the windows that a smaller id has."""
     size, first = sizes[own[many]], begin[own[many]]
@@ -186,7 +204,7 @@ def _marked(depth: int):
         # one passage for each fingerprint, that with the least id
         order = np.lexsort((ids, prints))
         new = np.ones(len(order), bool)
-        new[1:] = prints[order][1:] != prints[order][:-1]
+        new[1:] = ~_same(order[:-1], order[1:], prints, begin, sizes, text)
         number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(new) - 1
         own = order[new]
@@ -271,7 +289,8 @@ def without_repeated_bytes(
     Rows that share a doc_id never remove each other's bytes; rows without one come after all
     others. Texts are taken whole; one must fit in a task. An empty table gives no rows.
 
-    Passages are told apart by 64-bit fingerprints of their bytes before the index compares bytes.
+    Passages meet by 64-bit XXH3 fingerprints; where two blocks' fingerprints agree, bytes are compared.
+    Only passages of one block of documents (a few megabytes) are taken as equal by fingerprint alone.
     """
     rows, blocks, buckets = blocked(docs, block_bytes, bucket_bytes)
     bins = max(24, blocks * block_bytes // bin_bytes) if blocks > 24 else 48

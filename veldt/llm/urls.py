@@ -1,10 +1,11 @@
 """URL filters: host rules and empirical-Bayes host reputation.
 
-Labelled page outcomes (good or bad) are counted per host, registered domain and suffix. Each level
-is a beta-binomial whose prior is its parent's posterior mean with a fixed strength: suffixes are
-shrunk to the rate of all pages, domains to their suffix, hosts to their domain. A host is blocked
-where even an upper posterior bound of its rate of good pages is under a threshold, so a host with
-little evidence is kept.
+Labelled page outcomes (good or bad) are counted per host, registered domain and public suffix. Each
+level is a beta-binomial whose prior has the posterior mean of its parent and a strength that is
+fitted to the table, by moments: where children differ from their parents by no more than chance,
+they are shrunk hard, where they scatter, hardly. A host is blocked where even an upper quantile of
+the Beta posterior of its rate of good pages is under a threshold, so a host with little evidence is
+kept unless its domain or suffix speaks clearly.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veldt.llm.common import checkpointed
+
 #: verdict, host, path prefix; fixed by the contract of the url query.
 RULES = (
     ("allow", "org", "/"),
@@ -20,9 +23,14 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: pseudo-counts of a parent's rate in its children
-STRENGTH = 20.0
-#: standard deviations of the upper bound
+#: public suffixes of more than one label that are told apart; any other suffix is the last label
+SUFFIXES = (
+    "co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.za", "co.jp", "co.kr", "co.in",
+    "com.br", "com.cn", "com.mx", "com.tr", "github.io", "gitlab.io", "blogspot.com", "wordpress.com",
+)
+#: strength of a prior, in pages: bounds, and the value where no child has two labelled pages
+LEAST_STRENGTH, MOST_STRENGTH, STRENGTH = 1.0, 1000.0, 20.0
+#: normal quantile that the upper bound of 95 % belongs to
 Z = 1.645
 #: hosts whose upper bound of the good rate is below this are blocked
 LEAST_GOOD = 0.5
@@ -49,39 +57,63 @@ def rule_columns(rules=RULES) -> tuple[F.Column, F.Column]:
     return text, verdict
 
 
-def levels() -> tuple[F.Column, F.Column]:
-    """Registered domain (last two labels) and suffix (last label) of column host."""
-    domain = F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0)
-    return domain, F.regexp_extract("host", r"[^.]*$", 0)
+def registered(suffixes: tuple[str, ...] = SUFFIXES) -> str:
+    """Pattern of a host's registered domain, one label and the suffix; group 2 is the suffix."""
+    return r"([^.]*\.)?(" + "|".join(s.replace(".", r"\.") for s in suffixes) + r"|[^.]*)$"
+
+
+def fitted_strength(children: DataFrame) -> float:
+    """Strength of the prior that columns n, good and m (the parent's rate) of the children ask for.
+
+    The excess of squared deviations over binomial ones estimates the correlation r of two pages of
+    a child; the strength is 1/r - 1. One row reaches the driver.
+    """
+    excess = F.sum((F.col("good") - F.col("n") * F.col("m")) ** 2 - F.col("n") * F.col("m") * (1 - F.col("m")))
+    scale = F.sum(F.col("n") * (F.col("n") - 1) * F.col("m") * (1 - F.col("m")))
+    r = children.where("n > 1").agg(F.when(scale > 0, excess / scale).alias("r")).first()["r"]
+    if r is None:
+        return STRENGTH
+    return MOST_STRENGTH if r <= 1 / (MOST_STRENGTH + 1) else max(LEAST_STRENGTH, 1 / r - 1)
+
+
+def beta_upper(a: F.Column, b: F.Column, z: float = Z) -> F.Column:
+    """Upper quantile of Beta(a, b) by the closed form 26.5.22 of Abramowitz and Stegun.
+
+    It needs a and b of 1 or more; smaller ones count as 1, which only raises the bound. It is within
+    0.03 of the true quantile, nearer for larger a and b, and rather above than below it.
+    """
+    a, b, y = F.greatest(a, F.lit(1.0)), F.greatest(b, F.lit(1.0)), -z
+    lam = (y * y - 3) / 6
+    h = 2 / (1 / (2 * a - 1) + 1 / (2 * b - 1))
+    w = y * F.sqrt(h + lam) / h - (1 / (2 * b - 1) - 1 / (2 * a - 1)) * (lam + 5 / 6 - 2 / (3 * h))
+    return a / (a + b * F.exp(2 * w))
 
 
-def reputation(outcomes: DataFrame, strength: float = STRENGTH, z: float = Z) -> DataFrame:
+def reputation(outcomes: DataFrame, z: float = Z, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """One row per host: host, n, good, mean, upper.
 
     outcomes: host, good (1, 0, or null for a page without a label). Counts are pre-aggregated per
-    host before anything else, so a host with most pages is one row from then on.
+    host and written to the shared checkpoint folder before anything else, so a host with most pages
+    is one row from then on, and the pages are counted once.
     """
-    domain, suffix = levels()
-    hosts = (
-        outcomes.groupBy("host")
-        .agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
-        .withColumn("domain", domain)
-        .withColumn("suffix", suffix)
+    name = registered(suffixes)
+    counted = outcomes.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
+    hosts = checkpointed(counted).select(
+        "*", F.regexp_extract("host", name, 0).alias("domain"), F.regexp_extract("host", name, 2).alias("suffix")
     )
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n_d"), F.sum("good").alias("good_d"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n_d").alias("n_s"), F.sum("good_d").alias("good_s"))
-    root = suffixes.agg(F.sum("n_s").alias("n_r"), F.sum("good_s").alias("good_r"))
-    root = root.select(((F.coalesce("good_r", F.lit(0)) + 1.0) / (F.coalesce("n_r", F.lit(0)) + 2.0)).alias("m_r"))
-    s = F.lit(strength)
-    up = suffixes.withColumn("_all", F.lit(1)).join(root.withColumn("_all", F.lit(1)), "_all")  # root is one row
-    up = up.select("suffix", ((F.col("good_s") + s * F.col("m_r")) / (F.col("n_s") + s)).alias("m_s"))
-    mid = domains.join(up, "suffix")
-    mid = mid.select("domain", ((F.col("good_d") + s * F.col("m_s")) / (F.col("n_d") + s)).alias("m_d"))
-    low = hosts.join(mid, "domain")
-    mean = (F.col("good") + s * F.col("m_d")) / (F.col("n") + s)
-    low = low.select("host", "n", "good", mean.alias("mean"))
-    spread = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + s + 1))
-    return low.withColumn("upper", F.col("mean") + z * spread)
+    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    tops = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    every = tops.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")).first()
+    tops = tops.withColumn("m", F.lit((every["good"] + 1.0) / (every["n"] + 2.0)))
+
+    def shrunk(s: float) -> F.Column:
+        return (F.col("good") + s * F.col("m")) / (F.col("n") + s)
+
+    domains = domains.join(tops.select("suffix", shrunk(fitted_strength(tops)).alias("m")), "suffix")
+    hosts = hosts.join(domains.select("domain", "suffix", shrunk(fitted_strength(domains)).alias("m")), ["domain", "suffix"])
+    s = fitted_strength(hosts)
+    upper = beta_upper(F.col("good") + s * F.col("m"), F.col("n") - F.col("good") + s * (1 - F.col("m")), z)
+    return hosts.select("host", "n", "good", shrunk(s).alias("mean"), upper.alias("upper"))
 
 
 def url_filter(
