@@ -1,11 +1,11 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from veldt.llm.packing import fillings, pack, patterns, word_encoder
+from veldt.llm.packing import Encoder, best_fit, fillings, pack, patterns
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -15,14 +15,14 @@ def plain(tokenizer, text):
 
 
 def test_words_encode_as_whole_texts(sample):
-    tokenizer, encode = Tokenizer.from_file(PATH), word_encoder(PATH)
+    tokenizer, encode = Tokenizer.from_file(PATH), Encoder(PATH)
     odd = ["", " ", "İstanbul ΣΑΣ Σ ς ǅ Å", "don't we'll I'M", "á éx ́b", "x y z\r\nw\x0b\x0c", "3.14, -5", "<|endoftext|> <|startoftext|>x", "漢字かな 漢.", "..,, ,.", "ﬁne K", "Ωmega. ΑΣ, ßẞ", "a" * 500, "a's't b' 'tis. x*** (y) z-- !!a a!b é.-. Ab,;", "ab́c, K. ſ. İ."]
     for text in odd + [r.text for r in sample.select("text").limit(80).collect()]:
         assert encode([text]) == [plain(tokenizer, text)], text[:60]
 
 
 def test_small_cache_gives_the_same(sample):
-    tokenizer, encode = Tokenizer.from_file(PATH), word_encoder(PATH, most_words=50)
+    tokenizer, encode = Tokenizer.from_file(PATH), Encoder(PATH, most=50)
     for r in sample.select("text").limit(20).collect():
         assert encode([r.text, r.text]) == [plain(tokenizer, r.text)] * 2
 
@@ -35,22 +35,77 @@ def test_filling_is_exact_where_one_exists():
     for i in range(1, 101):
         last = i if counts[i] else last
         largest[i] = last
-    assert sorted(fillings(counts, largest, 99)) == [29, 30, 40]  # best fit alone would take 61 and 30
+    assert sorted(fillings(counts, largest, 99)[0]) == [29, 30, 40]  # best fit alone would take 61 and 30
 
 
-def test_patterns_use_up_every_length_and_fit():
-    rnd = random.Random(1)
-    histogram = {rnd.randrange(1, 4097): rnd.randrange(1, 40) for _ in range(300)}
+def uses_up(found, histogram, capacity):
     left = dict(histogram)
-    sequences = 0
-    for times, lengths in patterns(histogram):
-        assert sum(lengths) <= 4096
-        sequences += times
+    for times, lengths in found:
+        assert times > 0 and sum(lengths) <= capacity and lengths == sorted(lengths, reverse=True)
         for x in lengths:
             left[x] -= times
     assert not any(left.values())
-    total = sum(k * v for k, v in histogram.items())
-    assert sequences <= 1.06 * total / 4096 + 2
+    return sum(t for t, _ in found)
+
+
+def plain_best_fit(lengths, capacity):
+    rooms = []
+    for x in sorted(lengths, reverse=True):
+        fits = [r for r in rooms if r >= x]
+        room = min(fits) if fits else capacity
+        if fits:
+            rooms.remove(room)
+        rooms.append(room - x)
+    return len(rooms)
+
+
+def optimum(lengths, capacity):
+    """Least number of sequences, by trying every place for every piece."""
+    lengths, best = sorted(lengths, reverse=True), plain_best_fit(lengths, capacity)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for r in set(rooms):
+            if r >= lengths[i]:
+                left = list(rooms)
+                left.remove(r)
+                place(i + 1, [*left, r - lengths[i]])
+        place(i + 1, [*rooms, capacity - lengths[i]])
+
+    place(0, [])
+    return best
+
+
+def test_never_worse_than_best_fit_and_exact_without_a_node_bound():
+    rnd = random.Random(5)
+    assert uses_up(patterns(Counter([11, 10, 8, 8, 7, 7, 6, 2]), 20), Counter([11, 10, 8, 8, 7, 7, 6, 2]), 20) == 3
+    for case in range(10_000):
+        capacity = rnd.choice([10, 20, 50, 100])
+        low = rnd.choice([1, capacity // 5])
+        lengths = [rnd.randrange(low, capacity + 1 if case % 3 else max(low + 1, capacity // 2)) for _ in range(rnd.randrange(1, 12))]
+        h = Counter(lengths)
+        fit = uses_up(best_fit(h, capacity), h, capacity)
+        assert fit == plain_best_fit(lengths, capacity)
+        n = uses_up(patterns(h, capacity, 50), h, capacity)
+        assert n <= fit
+        if case % 10 == 0:
+            exact = uses_up(patterns(h, capacity, None), h, capacity)
+            assert exact == optimum(lengths, capacity) and exact <= n
+
+
+def test_patterns_use_up_every_length_and_fit():
+    rnd = random.Random(1)
+    histogram = {rnd.randrange(1, 4097): rnd.randrange(1, 40) for _ in range(300)}
+    sequences = uses_up(patterns(histogram), histogram, 4096)
+    assert sequences <= uses_up(best_fit(histogram), histogram, 4096)
+    large = {rnd.randrange(1400, 2731): rnd.randrange(1, 2000) for _ in range(1500)}  # two or one to a sequence
+    assert uses_up(patterns(large), large, 4096) <= uses_up(best_fit(large), large, 4096)
+    assert patterns({}) == [] and patterns({4096: 10**9, 1: 5}) in ([(10**9, [4096]), (1, [1] * 5)], [(1, [1] * 5), (10**9, [4096])])
 
 
 def check(rows, docs):

@@ -1,102 +1,252 @@
 """Best-fit packing of tokenised documents into fixed-length sequences, by bin completion.
 
 Only lengths matter to a packing, and a length is at most the capacity. So the search runs on the
-histogram of lengths (at most `capacity` numbers, whatever the corpus): for the largest length left,
-the undominated fillings of the rest of its sequence are enumerated depth first, pruned by the waste
-of the incumbent, which best fit provides; the filling found is applied as often as the counts
-allow. Pieces are then dealt to the slots of their length by their rank, without moving any text.
+histogram of lengths (at most `capacity` numbers, whatever the corpus). Best-fit decreasing gives the
+first incumbent. A node of the search takes the largest length left and branches over the undominated
+fillings of the rest of its sequence, least waste first; it is pruned where the sequences used and a
+bound from the waste on those still needed reach the incumbent. Equal sequences are taken many at a
+time. Pieces are then dealt to the slots of their length by their rank, without moving any text.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
-import unicodedata
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veldt.llm.bytesio import joined, mixed
 from veldt.llm.common import checkpointed, running_totals
 
 CAPACITY = 4096
 END_ID = 1
-#: Nodes that the search for one filling may visit before it takes its incumbent.
+#: Nodes that the search over sequences, and each search for fillings, may visit by default.
 NODES = 2000
+#: fillings of a sequence that a search with a number of nodes branches over
+WIDTH = 8
 
 
-def fillings(counts: list[int], largest: list[int], room: int, nodes: int = NODES) -> list[int]:
-    """Lengths, descending, that fill `room` with least waste; each used at most counts[length] times.
+class _Histogram:
+    """Counts of lengths, and the largest length up to each."""
 
-    largest[r] is the largest length <= r that is left (0: none). Always taking the largest length
-    that fits, as often as it fits, is best fit: the first descent, and the first incumbent. After
-    that, fewer copies and smaller lengths are tried, deepest first; a branch is cut where all that
-    the lengths it may still use hold can't bring the waste under the incumbent's.
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.capacity = capacity
+        self.counts = [0] * (capacity + 1)
+        for length, n in counts.items():
+            self.counts[length] = n
+        self.largest = [0] * (capacity + 1)
+        self._refresh(1, capacity)
+
+    def _refresh(self, low: int, high: int) -> None:
+        last = self.largest[low - 1]
+        for i in range(low, high + 1):
+            if self.counts[i]:
+                last = i
+            self.largest[i] = last
+
+    def add(self, length: int, n: int) -> None:
+        had = self.counts[length] > 0
+        self.counts[length] += n
+        if had != (self.counts[length] > 0):
+            above = length  # up to the next length that is there
+            while above < self.capacity and not self.counts[above + 1]:
+                above += 1
+            self._refresh(length, above)
+
+    def take(self, lengths: list[int], times: int) -> None:
+        for x in lengths:
+            self.add(x, -times)
+
+    def times(self, lengths: list[int]) -> int:
+        return min(self.counts[x] // lengths.count(x) for x in set(lengths))
+
+
+def best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
+    """Best-fit decreasing, as (times, lengths descending): each piece goes where least room is left.
+
+    Sequences that look alike are one entry, so the work grows with the distinct lengths only.
+    """
+    open_: dict[int, list[tuple[int, list[int]]]] = {}  # by room left
+    rooms: list[int] = []
+
+    def put(times: int, lengths: list[int], room: int) -> None:
+        if times:
+            if room not in open_:
+                bisect.insort(rooms, room)
+            open_.setdefault(room, []).append((times, lengths))
+
+    for length in sorted((x for x, n in histogram.items() if n), reverse=True):
+        left = histogram[length]
+        while left:
+            i = bisect.bisect_left(rooms, length)
+            if i < len(rooms):
+                room = rooms[i]
+                times, lengths = open_[room].pop()
+                if not open_[room]:
+                    del open_[room]
+                    rooms.pop(i)
+            else:  # new sequences
+                room, times, lengths = capacity, left, []
+            each = room // length
+            full = min(times, left // each)
+            rest = left - full * each if full < times else 0  # fewer than `each`: one more sequence
+            put(full, lengths + [length] * each, room - each * length)
+            put(1 if rest else 0, lengths + [length] * rest, room - rest * length)
+            if lengths:
+                put(times - full - (1 if rest else 0), lengths, room)
+            left -= full * each + rest
+    return [x for group in open_.values() for x in group]
+
+
+def undominated(lengths: list[int], room: int, counts: list[int], largest: list[int]) -> bool:
+    """Whether no length that is left over can replace some of these, of at most its size, and still fit.
+
+    A filling that has such a replacement is never better than the one with it. Only fillings of up
+    to ten lengths are tested; not to test is safe.
     """
-    best: list[tuple[int, int]] = []
-    best_waste = room + 1
+    if len(lengths) > 10:
+        return True
+    waste = room - sum(lengths)
+    sums = {0}
+    for x in lengths:
+        sums |= {s + x for s in sums}
+    for s in sums:
+        other = largest[min(room, s + waste)]
+        while other and other >= max(s, 1):  # of the size of what it replaces, or more
+            used = lengths.count(other)
+            if counts[other] > used and (other > s or (s != other or not used)):
+                return False
+            other = largest[other - 1]
+    return True
+
+
+def fillings(counts: list[int], largest: list[int], room: int, nodes: int | None = NODES, most: int | None = WIDTH) -> list[list[int]]:
+    """Undominated fillings of `room`, least waste first; at most counts[length] of each length.
+
+    largest[r] is the largest length <= r that is left (0: none). Lengths are tried in descending
+    order, as many as fit first, so the first descent is best fit. With `nodes` the search stops
+    after that many steps, with `most` only so many fillings are kept, and branches that can't waste
+    less than all of these are cut; without either all undominated fillings are returned. If the
+    search stops before it has seen an undominated one, the one of least waste is returned.
+    """
+    found: list[tuple[int, list[int]]] = []
+    seen_best: tuple[int, list[int]] = (room + 1, [])
     seen = 0
     path: list[tuple[int, int]] = []
 
+    def limit() -> int:
+        return found[-1][0] if most is not None and len(found) >= most else room + 1
+
     def reaches(length: int, left: int) -> bool:
-        total = 0
-        while length and total <= left - best_waste:
+        """Whether all lengths up to this one can bring the waste under the limit."""
+        total, needed = 0, left - limit()
+        while length and total <= needed:
             total += counts[length] * length
             length = largest[length - 1]
-        return total > left - best_waste
+        return total > needed
 
-    def search(left: int, most: int) -> None:
-        nonlocal best, best_waste, seen
+    def search(left: int, upto: int) -> None:
+        nonlocal seen, seen_best
         seen += 1
-        if left < best_waste:
-            best, best_waste = path.copy(), left
-        length = largest[min(left, most)]
-        while length and best_waste and seen < nodes and reaches(length, left):
-            for times in range(min(counts[length], left // length), 0, -1):
-                path.append((length, times))
-                search(left - times * length, length - 1)
+        if left < limit():
+            lengths = [x for x, n in path for _ in range(n)]
+            if left < seen_best[0]:
+                seen_best = left, lengths
+            if undominated(lengths, room, counts, largest):
+                bisect.insort(found, (left, lengths), key=lambda f: f[0])
+                if most is not None:
+                    del found[most:]
+        length = largest[min(left, upto)]
+        while length and limit() and (nodes is None or seen < nodes) and reaches(length, left):
+            for n in range(min(counts[length], left // length), 0, -1):
+                path.append((length, n))
+                search(left - n * length, length - 1)
                 path.pop()
-                if not best_waste or seen >= nodes:
+                if not limit() or (nodes is not None and seen >= nodes):
                     return
             length = largest[length - 1]
 
     search(room, room)
-    return [length for length, times in best for _ in range(times)]
+    return [lengths for _, lengths in found] or [seen_best[1]]
 
 
-def patterns(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[int, list[int]]]:
-    """(times, lengths descending) of sequences that use up the histogram."""
-    counts = [0] * (capacity + 1)
-    for length, n in histogram.items():
-        counts[length] = n
-    largest = [0] * (capacity + 1)
+def patterns(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int | None = NODES) -> list[tuple[int, list[int]]]:
+    """(times, lengths descending) of sequences that use up the histogram.
 
-    def refresh() -> None:
-        last = 0
-        for i in range(1, capacity + 1):
-            if counts[i]:
-                last = i
-            largest[i] = last
-
-    refresh()
-    out = []
-    while top := largest[capacity]:
-        counts[top] -= 1
-        if not counts[top]:
-            refresh()
+    Never more sequences than best-fit decreasing; with nodes=None, as few as there can be. With a
+    number of nodes, the search first descends by least waste, as far as that can beat the incumbent,
+    and then branches over other fillings until so many nodes are spent or the bound is met: all
+    tokens over the capacity, or the lengths over half of it.
+    """
+    best = best_fit(histogram, capacity)
+    used_best = sum(t for t, _ in best)
+    left = _Histogram({x: n for x, n in histogram.items() if n}, capacity)
+    tokens = sum(x * n for x, n in histogram.items())
+    least = max(-(-tokens // capacity), sum(n for x, n in histogram.items() if 2 * x > capacity))
+    spent = 0
+    path: list[tuple[int, list[int]]] = []
+
+    def exhausted() -> bool:
+        return used_best <= least or (nodes is not None and spent >= nodes)
+
+    def choices(top: int, most: int | None):
+        left.add(top, -1)
         room = capacity - top
-        filled = fillings(counts, largest, room, nodes) if room else []
-        counts[top] += 1
-        lengths = [top, *filled]
-        need = {x: lengths.count(x) for x in set(lengths)}
-        times = min(counts[x] // n for x, n in need.items())
-        out.append((times, lengths))
-        for x, n in need.items():
-            counts[x] -= times * n
-        refresh()
-    return out
+        out = fillings(left.counts, left.largest, room, nodes, most) if room else [[]]
+        left.add(top, 1)
+        return out
+
+    def branches(top: int):
+        """The least-waste filling first; the others only if the search comes back here."""
+        first = choices(top, 1)[0] if nodes is not None else None
+        if first is not None:
+            yield first
+        yield from (f for f in choices(top, None if nodes is None else WIDTH) if f != first)
+
+    def steps(used: int, tokens_left: int):
+        """(times, lengths) to try at a node, as long as they can beat the incumbent."""
+        nonlocal spent
+        spent += backtracked
+        top = left.largest[capacity]
+        for filling in branches(top):
+            lengths = [top, *filling]
+            for times in range(left.times(lengths), 0, -1):
+                after = tokens_left - times * sum(lengths)
+                if used + times + -(-after // capacity) < used_best:
+                    yield times, lengths, after
+
+    # depth first, with the generators of the open nodes as the stack: a path may be very long
+    stack = [steps(0, tokens)] if tokens else []
+    used, backtracked = 0, False
+    while stack and not exhausted():
+        step = next(stack[-1], None)
+        if step is None:
+            backtracked = True
+            stack.pop()
+            if path:
+                times, lengths = path.pop()
+                used -= times
+                left.take(lengths, -times)
+            continue
+        times, lengths, after = step
+        left.take(lengths, times)
+        used += times
+        path.append((times, lengths))
+        if after == 0:
+            best, used_best, backtracked = path.copy(), used, True
+            path.pop()
+            used -= times
+            left.take(lengths, -times)
+        else:
+            stack.append(steps(used, after))
+    return best
 
 
 def slots(found: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, int, int]]:
@@ -122,114 +272,230 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     """Pieces of every document: doc_id, piece, start, length, ids_crc32.
 
     White space separates words in this kind of vocabulary (it is dropped before anything is merged),
-    so each distinct word is encoded once a task and documents are put together from the bytes of
-    their words' ids. The cache of words is bounded, and words too long to recur are not kept.
+    so documents are put together from the ids of their words and marks. What a task keeps of them
+    is bounded and ends with the task.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(tokenizer)
+        encode = Encoder(tokenizer)
         end = end_id.to_bytes(4, "little")
         for batch in batches:
-            ids: list[list] = [[], [], [], [], []]
-            for at in range(0, len(batch), 250):
-                some = batch.slice(at, 250)
+            rows: list[tuple] = []
+            for some in _portions(batch):
                 texts = [t or "" for t in some.column(1).to_pylist()]
                 for doc_id, tokens in zip(some.column(0).to_pylist(), encode(texts), strict=True):
                     data = tokens + end
-                    for piece, at_byte in enumerate(range(0, len(data), 4 * capacity)):
-                        part = data[at_byte : at_byte + 4 * capacity]
-                        for column, value in zip(ids, (doc_id, piece, at_byte // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(ids, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
-                [x.split()[0] for x in schema.split(", ")],
-            )
+                    for piece, at in enumerate(range(0, len(data), 4 * capacity)):
+                        part = data[at : at + 4 * capacity]
+                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-#: what may stand behind a word's letters as a piece of its own; an apostrophe begins other pieces
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-
+def _portions(batch: pa.RecordBatch, bound: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `bound` bytes of text each, or one row."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + bound, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+#: Characters of a clean text: on these, lower-casing A-Z and the Latin capitals, and setting apart
+#: contractions, single digits and runs of marks, cuts a text as the vocabulary's own rules do.
+_CLEAN = re.compile(r"[\t-\r\x20-~\xa0-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-\xff\u2010-\u2027\u20ac]*").fullmatch
+_CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
+_BLANK, _LETTER, _DIGIT, _MARK = range(4)
+_CLASS = np.full(256, _MARK, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = _BLANK
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = _LETTER
+_CLASS[0x30:0x3A] = _DIGIT
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+#: bytes of a piece that make up its key; longer pieces are told apart by themselves
+_KEY = 24
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def cut(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of clean texts: one lower-cased buffer, each piece's start and end in it, pieces of each text."""
+    buffer, first, _ = joined(texts)
+    kind, buffer = _CLASS[buffer], _LOWER[buffer]
+    for lead, size in ((0xC2, 2), (0xC3, 2), (0xE2, 3)):
+        at = np.flatnonzero(buffer == lead)
+        if not len(at):
+            continue
+        after = buffer[at + 1]
+        if lead == 0xC3:
+            capital = at[(after >= 0x80) & (after <= 0x9E) & (after != 0x97)]
+            buffer[capital + 1] += 0x20
+            at = at[(after == 0x97) | (after == 0xB7)]  # the times and division signs
+        for i in range(size):
+            kind[at + i] = _MARK
+        if lead == 0xC2:
+            wide = at[after == 0xA0]
+            kind[wide] = kind[wide + 1] = _BLANK
+    begins = np.ones(len(buffer) + 1, bool)
+    begins[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    whole = buffer.tobytes()
+    for i in np.flatnonzero((buffer == 0x27) & begins[:-1]).tolist():
+        for letters in _CONTRACTIONS:
+            if whole.startswith(letters, i + 1):
+                begins[i + 1] = False
+                begins[i + 1 + len(letters)] = True
+                break
+    full = kind != _BLANK
+    starts = np.flatnonzero(begins[:-1] & full)
+    ends = np.flatnonzero(begins[1:] & full) + 1
+    edges = np.searchsorted(starts, np.append(first, len(buffer)))
+    return whole, starts, ends, np.diff(edges)
+
+
+@functools.lru_cache(maxsize=1)
+def _tokenizers(path: str):
+    """The tokenizer, and one of the same model that only cuts at blanks; kept as long as the worker."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    whole = Tokenizer.from_file(path)
+    bare = Tokenizer(whole.model)
+    bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    ending = np.zeros(whole.get_vocab_size() + 1, bool)
+    ending[[i for w, i in whole.get_vocab().items() if w.endswith("</w>")]] = True
+    return whole, bare, ending
+
+
+class _Known:
+    """Pieces and their ids, in arrays sorted by a hash of the key; keys are compared in full."""
+
+    def __init__(self, key: np.ndarray, ids: np.ndarray, count: np.ndarray):
+        self.hash = _hashed(key)
+        self.key, self.ids, self.count = key, ids, count
+        self.first = np.cumsum(count) - count
+        self.order = np.argsort(self.hash)
+        self.hash = self.hash[self.order]
+
+    def find(self, key: np.ndarray, hash_: np.ndarray) -> np.ndarray:
+        """Place of each key, -1 if it is not here."""
+        if not len(self.hash):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(self.hash, hash_), len(self.hash) - 1)
+        place = self.order[at]
+        return np.where((self.key[place] == key).all(1), place, -1)
+
+
+def _hashed(key: np.ndarray) -> np.ndarray:
+    out = mixed(key[:, 0])
+    for i in range(1, key.shape[1]):
+        out = mixed(out + key[:, i])
+    return out
 
-@functools.lru_cache(maxsize=2)
-def word_encoder(path: str, most_words: int = 500_000, longest: int = 64, together: int = 1000):
-    """texts -> for each the bytes of its ids, little-endian unsigned 32-bit; no special tokens.
 
-    Words between blanks are looked up in a bounded cache of two generations: a full one becomes the
-    old one, from which words still in use come back. It lives as long as the worker process, over
-    all tasks that this runs. A word of letters with marks behind it is two pieces to this kind of
-    vocabulary, and case is dropped by it, so such words share their letters' ids. New ones are
-    encoded many to a call and told apart by the ids that end a word; where the ends don't add up,
-    and for all other words, each is encoded alone.
-    """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    ending = np.zeros(tokenizer.get_vocab_size() + 1, bool)
-    ending[[i for w, i in tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
-    cache: dict[str, bytes] = {}
-    old: dict[str, bytes] = {}
-
-    def alone(words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def letters(words: list[str]) -> dict[str, bytes]:
-        out = {}
-        parts = [words[i : i + together] for i in range(0, len(words), together)]
-        for part, got in zip(parts, tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, "<u4")
-            ends = (4 * (np.flatnonzero(ending[ids]) + 1)).tolist()
-            if len(ends) != len(part):
-                out.update(zip(part, alone(part), strict=True))
-                continue
-            raw = ids.tobytes()
-            out.update(zip(part, [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
-        return out
+def _empty() -> _Known:
+    return _Known(np.zeros((0, _KEY // 8), np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
-    def plain(word: str) -> bool:
-        """Whether the vocabulary's own clean-up leaves only letters; a mark that it splits off would join those behind."""
-        return unicodedata.normalize("NFC", word).lower().isalpha()
-
-    def known(words: set[str]) -> set[str]:
-        """Those that are not cached, after a look at the old generation."""
-        new = {w for w in words if w not in cache}
-        back = {w: old[w] for w in new if w in old}
-        cache.update(back)
-        return new - back.keys() if back else new
-
-    def learn(new: set[str]) -> None:
-        cores = {w: w.rstrip(_MARKS) for w in new}
-        cores = {w: c.lower() if c.isascii() else c for w, c in cores.items() if c.isalpha() and len(w) <= longest and (c.isascii() or plain(c))}
-        cache.update(letters(list(known(set(cores.values())))))
-        marked = [w for w, c in cores.items() if len(w) > len(c)]
-        tails = list({w[len(cores[w]) :] for w in marked})
-        tails = dict(zip(tails, alone(tails), strict=True))
-        cache.update({w: cache[cores[w]] + tails[w[len(cores[w]) :]] for w in marked})
-        cache.update({w: cache[c] for w, c in cores.items() if w != c and len(w) == len(c)})
-        rest = [w for w in new if w not in cores]
-        cache.update(zip(rest, alone(rest), strict=True))
-
-    def encode(texts: list[str]) -> list[bytes]:
-        nonlocal cache, old
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        new = known(words)
-        if len(cache) + len(new) > most_words:
-            cache, old = {}, cache
-            new = known(words)
-        learn(new)
-        out = [b"".join([cache[w] for w in own]) for own in split]
-        for w in new:
-            if len(w) > longest:
-                del cache[w]
-        return out
 
-    return encode
+class Encoder:
+    """Texts to the bytes of their ids, little-endian unsigned 32-bit; no special tokens.
 
+    Clean texts are cut into pieces here, and each distinct piece of some texts is looked up among
+    known ones or encoded, many to a call, told apart by the ids that end a piece. Any other text is
+    encoded whole by the tokenizer. At most `most` pieces are known, some 45 bytes each, and forgotten
+    with the task that uses the encoder.
+    """
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, nodes: int = NODES) -> DataFrame:
+    def __init__(self, path: str, most: int = 400_000, together: int = 1000):
+        self.whole, self.bare, self.ending = _tokenizers(path)
+        self.most, self.together = most, together
+        self.known, self.recent = _empty(), _empty()
+
+    def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces, in order, and the number of each piece's."""
+        ids, counts = [], []
+        for i in range(0, len(pieces), self.together):
+            part = pieces[i : i + self.together]
+            own = np.array(self.bare.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ending[own]) + 1
+            if len(ends) == len(part):
+                counts.append(np.diff(ends, prepend=0))
+            else:
+                got = [e.ids for e in self.bare.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
+                own = np.array([x for e in got for x in e], np.uint32)
+                counts.append(np.array([len(e) for e in got], np.int64))
+            ids.append(own)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _clean(self, texts: list[bytes]) -> list[bytes]:
+        whole, starts, ends, pieces = cut(texts)
+        if not len(starts):
+            return [b""] * len(texts)
+        sizes = ends - starts
+        padded = np.frombuffer(whole + bytes(_KEY), np.uint8)
+        words = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+        key = np.stack([words[starts + 8 * i] & _MASK[np.clip(sizes - 8 * i, 0, 8)] for i in range(_KEY // 8)], 1)
+        hash_ = _hashed(key)
+        long = np.flatnonzero(sizes > _KEY)
+        numbers: dict[bytes, int] = {}
+        for i in long.tolist():  # too long for a key: a number stands for it, in this call only
+            key[i] = 0, 0, numbers.setdefault(whole[starts[i] : ends[i]], len(numbers))
+        hash_[long] = _hashed(key[long]) if len(long) else 0
+        order = np.argsort(hash_)
+        new = np.ones(len(order), bool)
+        new[1:] = (key[order[1:]] != key[order[:-1]]).any(1)
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        one = order[new]  # a piece of each kind
+        lasting = sizes[one] <= _KEY
+        at = np.where(lasting, self.known.find(key[one], hash_[one]), -1)
+        near = np.where(lasting & (at < 0), self.recent.find(key[one], hash_[one]), -1)
+        missing = np.flatnonzero((at < 0) & (near < 0))
+        got = self._encoded([whole[a:b] for a, b in zip(starts[one[missing]].tolist(), ends[one[missing]].tolist(), strict=True)]) if len(missing) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        # ids of all kinds: those known, those known of late, those encoded now
+        first, count = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
+        base = 0
+        for ids, lengths, begin, here, place in (
+            (self.known.ids, self.known.count, self.known.first, at >= 0, at),
+            (self.recent.ids, self.recent.count, self.recent.first, near >= 0, near),
+        ):
+            first[here], count[here] = begin[place[here]] + base, lengths[place[here]]
+            base += len(ids)
+        first[missing], count[missing] = np.cumsum(got[1]) - got[1] + base, got[1]
+        every = np.concatenate([self.known.ids, self.recent.ids, got[0]])
+        n = count[number]
+        upto = np.cumsum(n)
+        flat = every[np.repeat(first[number] - (upto - n), n) + np.arange(int(upto[-1]))].astype("<u4").tobytes()
+        self._learn(key[one], lasting, missing, *got)
+        last = np.cumsum(pieces)
+        cuts = np.append(0, upto)[np.append(0, last)] * 4
+        return [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+    def _learn(self, key: np.ndarray, lasting: np.ndarray, missing: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        stays = lasting[missing]
+        ids, count, key = ids[np.repeat(stays, count)], count[stays], key[missing[stays]]
+
+        def merged(a: _Known, key: np.ndarray, ids: np.ndarray, count: np.ndarray) -> _Known:
+            return _Known(np.concatenate([a.key, key]), np.concatenate([a.ids, ids]), np.concatenate([a.count, count]))
+
+        self.recent = merged(self.recent, key, ids, count)
+        if len(self.recent.key) > max(50_000, len(self.known.key) // 4):
+            full = len(self.known.key) + len(self.recent.key) > self.most
+            self.known = self.recent if full else merged(self.known, self.recent.key, self.recent.ids, self.recent.count)
+            self.recent = _empty()
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        clean = [bool(_CLEAN(t)) and "<|" not in t for t in texts]
+        own = iter(self._clean([t.encode() for t, c in zip(texts, clean, strict=True) if c]))
+        return [
+            next(own) if c else np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+            for t, c in zip(texts, clean, strict=True)
+        ]
+
+
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, nodes: int | None = NODES) -> DataFrame:
     """Pack all documents into as few sequences of at most `capacity` tokens as the search finds.
 
     docs: doc_id, text; other columns are ignored. A document is its ids and one end id; only longer
