@@ -35,6 +35,24 @@ def check(docs, rows):
         taken[r.source] += r.taken
     for s in by:
         assert abs(taken[s] - want[s]) <= 1
+    curriculum(rows, want)
+
+
+def curriculum(rows, want):
+    """By any time t, a source's taken words are the integral of its schedule, within the document being read."""
+    names = sorted(want, key=lambda s: (s is None, s or ""))
+    for s in names:
+        slope = (0.0, 0.5, -0.5)[names.index(s) // 3 % 3]
+        copies = []
+        for r in rows:
+            if r.source == s:
+                assert len(r.positions) == -(-r.taken // r.size) if r.size else not r.positions
+                assert r.position == (r.positions[0] if r.positions else None) and r.positions == sorted(r.positions)
+                copies += [(p, min(r.size, r.taken - i * r.size)) for i, p in enumerate(r.positions)]
+        total, done = sum(n for _, n in copies), 0
+        for t, n in sorted(copies):
+            assert abs(((1 - slope) * t + slope * t * t) * total - done) <= max(1e-6 * total, 1e-3)
+            done += n
 
 
 def test_sample_and_reruns_agree(spark, sample):
@@ -69,3 +87,20 @@ def test_mixed_documents_hold_what_is_taken(spark, sample):
         words[r.source] += len(r.text.split())
         assert r.n_chars == len(r.text)
     assert words == took
+
+
+def test_choice_says_nothing_about_the_time_of_reading(spark):
+    docs = [(i, "w " * 10, "small" if i % 10 == 0 else "large") for i in range(20_000)]
+    rows = mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    part = [r for r in rows if r.source == "large" and r.taken]
+    assert 0 < len(part) < 15_000  # this source is wanted in part only
+    halves = [sum(r.taken for r in part if (r.position < 0.5) == early) for early in (True, False)]
+    assert min(halves) > 0.45 * sum(halves)
+    assert len({r.doc_id // 2000 for r in part}) == 10
+
+
+def test_copies_are_far_apart(spark):
+    docs = [(i, "w " * 10, "rare" if i < 60 else "b") for i in range(3000)]
+    rows = mix(spark.createDataFrame(docs, "doc_id long, text string, source string"), cycle=(1, 50)).collect()
+    many = [r.positions for r in rows if len(r.positions) > 1]
+    assert many and min(b - a for p in many for a, b in zip(p, p[1:])) > 0.05

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from veldt.llm.mixing import MOST_REPEATS, SLOPES, WEIGHT_CYCLE
 from veldt.llm.quality import OTHER_PUNCTUATION, PUNCTUATION, LineRules
 from veldt.llm.urls import LEAST_GOOD, LEAST_STRENGTH, MOST_STRENGTH, RULES, STRENGTH, Z, registered
 
@@ -84,6 +85,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND lost_chars <= {_d(rules.lost)} * word_chars AND n_words - lost_words >= {rules.least_words} AS kept, n_lost_lines, lost_chars FROM b"""
 
 
+def mixing_sql(cycle=WEIGHT_CYCLE, cap: float = MOST_REPEATS, slopes=SLOPES) -> str:
+    """For tables of up to 2**24 rows, whose buckets of documents have names of three digits."""
+    n, k = len(cycle), len(slopes)
+    ahead = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return rf"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY 1),
+r AS (SELECT *, {_d(cap)} * source_size AS lim, CAST([{", ".join(map(str, cycle))}][place % {n} + 1] AS DOUBLE) AS weight FROM s),
+q AS (SELECT *, lim / weight AS ratio FROM r),
+t AS (SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) AS total, coalesce(sum(lim) OVER up, 0) AS capped, sum(weight) OVER () - coalesce(sum(weight) OVER up, 0) AS weight_left
+  FROM q WINDOW up AS (ORDER BY ratio, place {ahead})),
+l AS (SELECT *, (total - capped) / weight_left AS level FROM t),
+f AS (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, place LIMIT 1),
+g AS (SELECT source, source_size, least(lim, coalesce(weight * (SELECT level FROM f), lim)) AS target,
+  [{", ".join(_d(x) for x in slopes)}][(place // {n}) % {k} + 1] AS slope FROM l),
+w AS (SELECT *, CAST(floor(target + {_d(0.5)}) AS BIGINT) AS words FROM g),
+h AS (SELECT *, words // greatest(source_size, 1) AS whole, words - (words // greatest(source_size, 1)) * source_size AS rest FROM w),
+o AS (SELECT d.*, h.* EXCLUDE (source), md5(concat_ws(':', 'choose', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(size AS VARCHAR))) AS choice,
+  md5(concat_ws(':', 'read', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(size AS VARCHAR))) AS reading FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source),
+b AS (SELECT *, substr(choice, 1, 3) AS bucket, coalesce(sum(size) OVER (PARTITION BY source ORDER BY choice, doc_id, size {ahead}), 0) AS chosen FROM o),
+e AS (SELECT *, least(greatest(rest - chosen, 0), size) AS extra FROM b),
+v AS (SELECT *, coalesce(sum(size) OVER z, 0) AS round, coalesce(sum(extra) OVER z, 0) AS last FROM e
+  WINDOW z AS (PARTITION BY source ORDER BY md5('bucket:' || bucket), bucket, reading, doc_id, size {ahead})),
+u AS (SELECT *, CAST(whole * size + extra AS BIGINT) AS taken, (CASE WHEN whole > 0 THEN round ELSE last END) / CAST(greatest(words, 1) AS DOUBLE) AS u FROM v)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN CASE WHEN slope = 0 THEN u
+  ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * u) - (1 - slope)) / (2 * slope) END END AS position FROM u"""
+
+
 SUBSTRING_SQL = rf"""
 WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
 starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM t WHERE len(ws) >= 20),
@@ -110,6 +139,7 @@ SELECT t.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_re
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_suffix_dedup": SUFFIX_SQL,
+        "op6_mixing": mixing_sql(),
         "op8_quality_rules": quality_sql(),
         "op9_url_filter": url_filter_sql(),
         "op10_substring_dedup": SUBSTRING_SQL,
