@@ -8,15 +8,16 @@ differing bits, and table v drops every one of these: the pair is certain to col
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldt.llm.bytesio import joint, mixed, windows, word_prints
 from veldt.llm.common import checkpointed
 
 SEED = 42
@@ -122,40 +123,110 @@ def linked(values: np.ndarray, radius: int = RADIUS, bucket: int = BUCKET) -> li
     return out
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column fp) that span the same components as all links.
+def reached(values: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Places (i, j) of rows that connect what pairs at up to `limit` differing bits connect.
 
-    Only distinct fingerprints get here, so copies cost nothing. A bucket of one table is a row; it
-    yields fewer edges than it has members.
+    Rows are visited from one to the next, each compared only with those not yet visited: a family of
+    near copies is done after one comparison with its first member.
     """
-    signed = [m - 2**64 if m >= 2**63 else m for m in masks(radius)]
-    rows = F.explode(F.array(*(F.struct(F.lit(i).alias("no"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed))))
-    buckets = nodes.select("fp", rows.alias("t")).groupBy("t.no", "t.key").agg(F.collect_list("fp").alias("fps"))
+    left, out = np.arange(len(values)), []
+    while len(left):
+        todo, left = [int(left[0])], left[1:]
+        while todo and len(left):
+            i = todo.pop()
+            near = np.bitwise_count(values[left] ^ values[i]).sum(1) <= limit
+            found = left[near].tolist()
+            out += [(i, j) for j in found]
+            todo += found
+            left = left[~near]
+    return out
+
+
+def in_buckets(keyed: DataFrame, names: list[str], limit: int, link) -> DataFrame:
+    """Edges (a, b) between nodes that share a bucket and differ in at most `limit` bits of columns `names`.
+
+    keyed: no and key, which name a bucket; node; names. Buckets are sorted runs of their partition,
+    read one after the other: no bucket is ever one row. `link` connects the members of a bucket of
+    more than 32, given their values; smaller buckets are compared at once.
+    """
+    once = keyed.withColumn("_n", F.count("*").over(Window.partitionBy("no", "key"))).where("_n > 1")
+    rows = once.select("no", "key", "node", *names)
+
+    def edges(node: np.ndarray, values: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        sizes = np.diff(np.append(first, len(group)))
+        found: list[np.ndarray] = []
+        for at, n in zip(first[sizes > 32].tolist(), sizes[sizes > 32].tolist(), strict=True):
+            pairs = np.array(link(values[at : at + n]), np.int64).reshape(-1, 2)
+            found.append(node[at + pairs])
+        small = np.flatnonzero(np.repeat(sizes <= 32, sizes))
+        group, own, who = group[small], values[small], node[small]
+        for d in range(1, int(sizes[sizes <= 32].max(initial=1))):
+            at = np.flatnonzero(group[d:] == group[:-d])
+            at = at[np.bitwise_count(own[at + d] ^ own[at]).sum(1) <= limit]
+            found.append(np.stack([who[at], who[at + d]], 1))
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last bucket seen, as it may go on
         for batch in batches:
-            column = batch.column(0)
-            ends = column.offsets.to_numpy()
-            values = column.values.to_numpy().view(np.uint64)
-            starts, sizes = ends[:-1], np.diff(ends)
-            edges: list[tuple[int, int]] = []
-            for i in np.flatnonzero(sizes > 32).tolist():
-                edges += linked(values[starts[i] : starts[i] + sizes[i]], radius, bucket)
-            small = np.flatnonzero(sizes <= 32)
-            group = np.repeat(small, sizes[small])
-            own = values[np.repeat(starts[small], sizes[small]) + np.arange(len(group)) - np.repeat(np.cumsum(sizes[small]) - sizes[small], sizes[small])]
-            hits: dict[int, set[int]] = defaultdict(set)
-            for d in range(1, int(sizes[small].max(initial=1))):
-                near = (group[d:] == group[:-d]) & (np.bitwise_count(own[d:] ^ own[:-d]) <= radius)
-                for i in np.flatnonzero(near).tolist():
-                    hits[int(group[i])].update((int(own[i]), int(own[i + d])))
-            for members in hits.values():
-                edges += linked(np.array(sorted(members), np.uint64), radius, bucket)
-            pairs = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], ["a", "b"])
-
-    found = buckets.where(F.size("fps") > 1).select("fps").mapInArrow(run, "a long, b long")
-    return found.distinct()
+            if not len(batch):
+                continue
+            held.append(batch)
+            no, key = batch.column("no").to_numpy(), batch.column("key").to_numpy()
+            if (no[0] == no[-1] and key[0] == key[-1] and len(held) == 1):
+                continue
+            cut = int(np.flatnonzero((no == no[-1]) & (key == key[-1]))[0])
+            if cut == 0 and _first(held[0]) == _first(batch):
+                continue
+            yield from whole([*held[:-1], batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        yield from whole(held)
+
+    def whole(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [p for p in parts if len(p)]
+        if parts:
+            table = pa.Table.from_batches(parts)
+            no, key, node = (table.column(c).to_numpy() for c in ("no", "key", "node"))
+            values = np.stack([table.column(c).to_numpy().view(np.uint64) for c in names], 1)
+            new = np.append(True, (no[1:] != no[:-1]) | (key[1:] != key[:-1]))
+            yield from edges(node, values, np.cumsum(new))
+
+    return rows.repartition("no", "key").sortWithinPartitions("no", "key").mapInArrow(run, "a long, b long").distinct()
+
+
+def _first(batch: pa.RecordBatch) -> tuple[int, int]:
+    return batch.column("no")[0].as_py(), batch.column("key")[0].as_py()
+
+
+def _covering(column: str, radius: int, start: int = 0) -> list[F.Column]:
+    """A struct (no, key) for each covering table of a fingerprint column."""
+    signed = [m - 2**64 if m >= 2**63 else m for m in masks(radius)]
+    return [F.struct(F.lit(start + i).alias("no"), F.col(column).bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)]
+
+
+def _spread(nodes: DataFrame) -> DataFrame:
+    """Over enough tasks for each row to become a row a table."""
+    return nodes.repartition(max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.sparkSession.sparkContext.defaultParallelism))
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints (column fp) that span the same components as all links.
+
+    Only distinct fingerprints get here, so copies cost nothing. A large bucket of a table yields
+    fewer edges than it has members.
+    """
+    keyed = _spread(nodes).select("fp", F.explode(F.array(*_covering("fp", radius))).alias("t"))
+    keyed = keyed.select("t.no", "t.key", F.col("fp").alias("node"), "fp")
+
+    def link(values: np.ndarray) -> list[tuple[int, int]]:
+        own = values[:, 0]
+        place = {v: i for i, v in enumerate(own.tolist())}
+        return [(place[a], place[b]) for a, b in linked(own, radius, bucket)]
+
+    return in_buckets(keyed, ["fp"], radius, link)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -208,13 +279,126 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     )
 
 
-def representatives(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """One document of each component, that with the least doc_id; same columns as docs.
+#: Near copies: bits of the signature that may differ. Shingle sets of Jaccard similarity 0.8 have
+#: fingerprints that differ in 0.15 of their bits, 39 of 256, give or take 6.
+SIGNATURE = 4
+SIGNATURE_BITS = 46
+#: independent fingerprints of the words, each with its covering tables
+WORD_SEEDS = 4
+
 
-    Rows that repeat a doc_id count as one document: one of them, the least by content hash, stays.
+def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Fingerprint of each group of consecutive hashes: bits set in over half of them; 0 for empty groups."""
+    out = np.zeros(len(sizes), np.uint64)
+    full = np.flatnonzero(sizes)
+    if not len(full):
+        return out
+    pieces = -(-sizes[full] // 255)  # a byte can count so many
+    owner_ = np.repeat(np.arange(len(full)), pieces)
+    nth = np.arange(len(owner_)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    at = np.repeat((np.cumsum(sizes) - sizes)[full], pieces) + nth * 255
+    first = np.cumsum(pieces) - pieces
+    ones, ones_mask = np.zeros((len(full), 64), np.int64), np.uint64(0x0101010101010101)
+    for bit in range(8):  # eight counters, of bits bit, bit + 8, .., in the bytes of one sum
+        sums = np.add.reduceat((hashes >> np.uint64(bit)) & ones_mask, at)
+        ones[:, bit::8] = np.add.reduceat(sums.astype("<u8").view(np.uint8).reshape(-1, 8), first, axis=0, dtype=np.int64)
+    out[full] = np.packbits((2 * ones > sizes[full, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
+def signatures(texts: list[bytes], shingle: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Node, word fingerprints and signature of each text.
+
+    The node is a hash of the words in order, A-Z lower-cased. A word fingerprint is the SimHash of
+    the distinct words, one for each of WORD_SEEDS; the signature is SIGNATURE SimHashes of the
+    distinct shingles. A text of fewer words than a shingle is one shingle; a wordless one has zeros.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), radius, shingle)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi")
-    first = kept.groupBy("doc_id").agg(F.min_by(F.struct(*kept.columns), F.xxhash64(*[c for c in kept.columns if c != "doc_id"])).alias("_row"))
-    return first.select("_row.*")
+    texts = [t.translate(_LOWER) for t in texts]
+    node = np.array([xxhash.xxh3_64_intdigest(b" ".join(t.split())) for t in texts], np.uint64).view(np.int64)
+    words, counts = word_prints(texts)
+    row = np.repeat(np.arange(len(texts), dtype=np.uint64), counts)
+
+    def distinct(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = joint(rows, values)
+        at = np.sort(np.unique(key, return_index=True)[1])
+        return values[at], np.bincount(rows[at].astype(np.int64), minlength=len(texts))
+
+    own, sizes = distinct(words, row)
+    by_word = np.stack([majority(mixed(own + np.uint64(1000 + i)), sizes) for i in range(WORD_SEEDS)], 1)
+    runs = windows(words, shingle)
+    inside = row[: len(runs)] == row[len(words) - len(runs) :]
+    runs, rows = runs[inside], row[: len(runs)][inside]
+    short = np.flatnonzero((counts > 0) & (counts < shingle))
+    runs, rows = np.append(runs, node[short].view(np.uint64)), np.append(rows, short.astype(np.uint64))
+    order = np.argsort(rows, kind="stable")
+    own, sizes = distinct(runs[order], rows[order])
+    by_shingle = np.stack([majority(mixed(own ^ mixed(np.uint64([i + 1]))), sizes) for i in range(SIGNATURE)], 1)
+    return node, by_word.view(np.int64), by_shingle.view(np.int64)
+
+
+def _signed(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, digest of the text, node, w0.. (word fingerprints), s0.. (signature)."""
+    names = [*(f"w{i}" for i in range(WORD_SEEDS)), *(f"s{i}" for i in range(SIGNATURE))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            upto = np.cumsum(pc.binary_length(batch.column("text")).to_numpy().astype(np.int64))
+            at = 0
+            while at < len(batch):
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 20), side="right")))
+                part = batch.slice(at, end - at)
+                node, by_word, by_shingle = signatures(part.column("text").to_pylist(), shingle)
+                columns = [part.column("doc_id"), part.column("digest"), pa.array(node)]
+                columns += [pa.array(np.ascontiguousarray(c)) for c in (*by_word.T, *by_shingle.T)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "node", *names])
+                at = end
+
+    text = F.coalesce("text", F.lit(""))
+    inner = docs.select("doc_id", F.md5(text.cast("binary")).alias("digest"), text.cast("binary").alias("text"))
+    return inner.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, digest string, node long, " + ", ".join(f"{n} long" for n in names))
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, bits: int = SIGNATURE_BITS) -> DataFrame:
+    """Component of every row: doc_id, digest (MD5 of the text), node, root.
+
+    Rows whose words are the same in order are one node. Covering tables of the word fingerprints
+    bring together what differs in few words: an edited word changes five shingles but one word, so
+    these fingerprints are within their radius where those of the shingles are far from it. What
+    meets is linked if its signatures, SimHashes of `shingle`-word shingles, differ in at most `bits`
+    of 256 bits, that is at a Jaccard similarity of 0.8 or more but for the estimate's own scatter.
+    """
+    marked = checkpointed(_signed(docs, shingle))
+    words, signature = [f"w{i}" for i in range(WORD_SEEDS)], [f"s{i}" for i in range(SIGNATURE)]
+    nodes = marked.groupBy("node").agg(*[F.first(c).alias(c) for c in words + signature])
+    nodes = checkpointed(nodes)
+    tables = len(masks(RADIUS))
+    keys = [t for i, w in enumerate(words) for t in _covering(w, RADIUS, i * tables)]
+    keyed = _spread(nodes).select("node", F.explode(F.array(*keys)).alias("t")).select("t.no", "t.key", "node")
+    met = keyed.withColumn("_n", F.count("*").over(Window.partitionBy("no", "key"))).where("_n > 1").drop("_n")
+    edges = in_buckets(met.join(nodes.select("node", *signature), "node"), signature, bits, lambda values: reached(values, bits))
+    roots = components(edges)
+    rows = marked.select("doc_id", "digest", "node")
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def representatives(docs: DataFrame, shingle: int = 5, bits: int = SIGNATURE_BITS) -> DataFrame:
+    """One document of each group of near copies, that with the least doc_id; same columns as docs.
+
+    Rows without an id come last and are documents like any other; rows that share an id are told
+    apart by their texts, and of rows that agree in id and text one stays. Null and wordless texts
+    are copies of each other. An empty table gives no rows.
+    """
+    inner = docs.select(*[F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"own_{c}") for c in docs.columns])
+    found = near_copies(inner.select("doc_id", "text"), shingle, bits)
+    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "digest")
+    first = found.groupBy("root").agg(F.min(order).alias("_f")).select(
+        F.coalesce(F.col("_f.doc_id").cast("string"), F.lit("")).alias("_id"), F.col("_f.no").alias("_no"), F.col("_f.digest").alias("_digest")
+    )
+    keyed = inner.select(
+        "*", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("doc_id").isNull().alias("_no"),
+        F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_digest"),
+    )
+    kept = keyed.join(first, ["_id", "_no", "_digest"])
+    same = Window.partitionBy("_id", "_no", "_digest").orderBy(F.lit(1))
+    kept = kept.withColumn("_nth", F.row_number().over(same)).where("_nth = 1")
+    return kept.select(*[F.col(c if c in ("doc_id", "text") else f"own_{c}").alias(c) for c in docs.columns])
