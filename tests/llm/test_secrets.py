@@ -1,8 +1,14 @@
 import hashlib
+import math
 import random
 import re
+import time
+from collections import Counter, defaultdict
+from statistics import NormalDist
 
-from veldt.llm.secrets import redacted, secrets
+from pyspark.sql import functions as F
+
+from veldt.llm.secrets import ENCODINGS, LETTERS, battery, redacted, secrets
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -40,16 +46,90 @@ def test_sample_and_odd_documents(spark, sample, odd_documents):
     assert secrets(odd_documents.limit(0)).count() == 0
 
 
-def test_battery_finds_random_tokens_and_leaves_words(spark):
+def plain_battery(token):
+    """The documented formulas, one by one."""
+    core = token.rstrip("=")
+    for groups in ENCODINGS:
+        alphabet = "".join(g for g, _ in groups)
+        if set(core) <= set(alphabet):
+            break
+    n, k, x = len(core), len(alphabet), [alphabet.index(c) for c in core]
+    chi = k / n * sum(v * v for v in Counter(core).values()) - n
+    freedom = (k - 1) * n / (n - 1)
+    cube = ((max(chi, 0) / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * freedom))) / math.sqrt(2 / (9 * freedom))
+    changes = sum((a >= k / 2) != (b >= k / 2) for a, b in zip(x, x[1:]))
+    runs = max(abs(changes - (n - 1) / 2) - 0.5, 0) / math.sqrt((n - 1) / 4)
+    m = (k - 1) / 2
+    serial = abs(sum((a - m) * (b - m) for a, b in zip(x, x[1:]))) / ((k * k - 1) / 12) / math.sqrt(n - 1)
+    tail = NormalDist().cdf
+    ps = [tail(-cube), 2 * tail(-runs), 2 * tail(-serial)]
+    half = -sum(math.log(max(min(p, 1), 1e-12)) for p in ps)
+    text = {}
+    for chars, share in groups:
+        weights = [LETTERS.get(c.lower(), 1) for c in chars]
+        text |= {c: share * w / sum(weights) for c, w in zip(chars, weights)}
+    return (*ps, math.exp(-half) * (1 + half + half * half / 2), sum(math.log10(1 / k / text[c]) for c in core))
+
+
+UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+WRITTEN = {
+    "upper hex": "ABCDEF" + DIGITS, "letters": UPPER + LOWER, "base32": UPPER + "234567", "lower base32": LOWER + "234567",
+    "base36": LOWER + DIGITS, "upper base36": UPPER + DIGITS, "base62": UPPER + LOWER + DIGITS, "base64": UPPER + LOWER + DIGITS + "+/",
+    "base64url": UPPER + LOWER + DIGITS + "-_", "lower letters": LOWER,
+}
+
+
+def test_battery_equals_its_formulas(spark):
+    rnd = random.Random(2)
+    tokens = ["".join(rnd.choice(chars) for _ in range(n)) for chars in WRITTEN.values() for n in (20, 33, 64)]
+    tokens += ["internationalisation", "AVeryLongClassNameInJava", "zzzzzzzzzzzzzzzzzzzzzz", "QUJDREVGR0hJSktMTU5PUA==", "a/b-c_d+e" * 3]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", battery(F.col("t")).alias("b")).collect()
+    for r in got:
+        want = plain_battery(r.t)
+        for name, value in zip(("p_uniform", "p_runs", "p_serial", "p"), want):
+            assert abs(r.b[name] - value) < 0.004, (r.t, name, r.b[name], value)
+        assert abs(r.b.log_e - want[4]) < 1e-9
+
+
+def test_the_battery_keeps_its_level(spark):
+    """Random tokens of any encoding are rejected about as often as ALPHA says."""
+    rnd = random.Random(7)
+    for chars in ("base62", "base32", "lower letters"):
+        tokens = [("".join(rnd.choice(WRITTEN[chars]) for _ in range(30)),) for _ in range(3000)]
+        lost = spark.createDataFrame(tokens, "t string").where(battery(F.col("t"))["p"] < 0.01).count()
+        assert lost < 0.03 * 3000, (chars, lost)
+
+
+def test_recall_by_encoding_and_length(spark):
     rnd = random.Random(9)
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    keys = ["".join(rnd.choice(alphabet) for _ in range(40)) for _ in range(60)]
-    words = ["internationalisation2of", "AVeryLongClassNameInJava", "zzzzzzzzzzzzzzzzzzzzzz1Z", "z1y1z1y1z1y1z1y1z1y1z1y1", "2024-01-02-report-final-Version"]
-    docs = [(i, f"here is {k} in a text") for i, k in enumerate(keys)] + [(1000 + i, f"and {w} is none") for i, w in enumerate(words * 10)]
-    rows = {r.doc_id: r for r in secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    found = [i for i, k in enumerate(keys) if rows[i].spans == f"random:8:{8 + len(k)}"]
-    assert len(found) >= 50  # three tests at 1 % each reject a few random tokens
-    assert not any(rows[1000 + i].spans for i in range(50))
+    text = "The quick brown foxes of internationalisation2of AVeryLongClassNameInJava zzzzzzzzzzzzzzzzzzzzzz1Z donaudampfschifffahrtsgesellschaft 2024-01-02-report-final-Version".split()
+    docs, keys = [], []
+    for name, chars in WRITTEN.items():
+        for n in (24, 32, 40, 64):
+            for _ in range(40):
+                key = "".join(rnd.choice(chars) for _ in range(n))
+                keys.append((len(docs), name, n, f"random:8:{8 + n}"))
+                docs.append(f"here is {key} in a text")
+    others = [(10_000 + i, f"and {w} is none") for i, w in enumerate(text * 20)]
+    rows = {r.doc_id: r for r in secrets(spark.createDataFrame(list(enumerate(docs)) + others, "doc_id long, text string")).collect()}
+    hits = defaultdict(list)
+    for i, name, n, want in keys:
+        hits[name, n].append(rows[i].spans == want)
+    share = {k: sum(v) / len(v) for k, v in hits.items()}
+    for (name, n), x in share.items():
+        if name == "lower letters":  # text by its letters alone when short
+            assert n < 64 or x > 0.8, (name, n, x)
+        else:
+            assert x > (0.85 if n >= 32 else 0.5), (name, n, x)
+    assert not any(rows[i].spans for i, _ in others)
+
+
+def test_many_matches_take_linear_time(spark):
+    text = " ".join(f"{i:016x}" for i in range(100_000))
+    begin = time.time()
+    row = secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).select("n_hex", F.md5("spans").alias("m")).first()
+    assert row.n_hex == 100_000 and time.time() - begin < 20
+    assert row.m == hashlib.md5(",".join(f"hex:{17 * i}:{17 * i + 16}" for i in range(100_000)).encode()).hexdigest()
 
 
 def test_redaction_replaces_every_span(spark):

@@ -2,11 +2,11 @@
 
 Base spans are matches of three patterns. The battery looks at every other long token of an encoded
 alphabet: it infers the encoding, and tests the characters for uniformity over its alphabet
-(chi-squared), for the number of runs above and below the middle of the alphabet, and for serial
-correlation. A token that none of the tests rejects is consistent with random characters; it is
-reported if ordinary text would hardly alternate between character classes as it does. That last
-p-value, a Chernoff bound, is held to a false-discovery rate within classes of similar length,
-over all tokens of the table.
+(chi-squared), for the number of runs in its two halves, and for serial correlation. The three
+p-values are combined; a token that the battery does not reject is consistent with random characters.
+So is some ordinary text, the more easily the shorter it is. Therefore each token that passes is also
+held against a model of text: how much likelier its characters are as random ones than as text is an
+e-value, and the e-values of a length class are held to a false-discovery rate over all its tokens.
 """
 
 from __future__ import annotations
@@ -16,166 +16,226 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldt.llm.common import checkpointed
+
 # Fixed patterns of the base kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-# Tokens of the battery, and a mark that each must hold: a change of class that words don't have.
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
-CHANGE = r"[A-Za-z][0-9]|[0-9][A-Za-z]"
+#: tokens of the battery: characters of encodings, and padding
+TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 LEAST_VALUE = 12
 KINDS = ("assign", "access", "hex", "random")
 
-#: significance of each of the three tests
+#: significance of the combined battery: this share of random tokens is lost
 ALPHA = 0.01
 #: false-discovery rate
 RATE = 0.01
-#: share of neighbouring characters of ordinary text that differ in class (lower, upper, digit, other)
-TEXT_CHANGES = 0.12
-#: p-values are counted in steps of a power of ten, up to this one
+#: e-values are counted in steps of a power of ten; as 10**60 tokens of a class would be needed for it to matter, none is counted deeper
 DEEPEST = 60
+#: Share of each letter in text, over a few European languages, per thousand.
+LETTERS = {
+    "e": 145, "a": 80, "n": 78, "i": 76, "s": 72, "r": 68, "t": 68, "o": 58, "l": 47, "u": 46, "d": 43, "c": 31, "h": 30,
+    "m": 27, "p": 24, "g": 19, "b": 15, "f": 14, "v": 13, "z": 9, "y": 9, "w": 9, "k": 9, "q": 5, "x": 3, "j": 3,
+}
+_LOW = "".join(LETTERS)
+_UP, _DIGITS = _LOW.upper(), "0123456789"
+#: Encodings, smallest alphabet first: characters, each group with its share of the characters of text written in it.
+#: Groups and letters stand from common to rare in text, so that halves differ where text is not random.
+ENCODINGS = (
+    (("ABCDEF", 0.04), (_DIGITS, 0.96)),  # text that fits these is numbers
+    ((_LOW, 1.0),),
+    ((_UP, 1.0),),
+    ((_LOW, 0.97), ("234567", 0.03)),
+    ((_UP, 0.97), ("234567", 0.03)),
+    ((_LOW, 0.95), (_DIGITS, 0.05)),
+    ((_UP, 0.95), (_DIGITS, 0.05)),
+    ((_LOW, 0.92), (_UP, 0.08)),
+    ((_LOW, 0.85), (_UP, 0.08), (_DIGITS, 0.07)),
+    ((_LOW, 0.81), (_UP, 0.07), (_DIGITS, 0.06), ("/+", 0.06)),
+    ((_LOW, 0.81), (_UP, 0.07), (_DIGITS, 0.06), ("-_", 0.06)),
+    ((_LOW, 0.79), (_UP, 0.07), (_DIGITS, 0.06), ("-_/+", 0.08)),
+)
+#: elements that running() adds up one by one
+_BLOCK = 64
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once however often body uses it, also inside other lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, add, zero: Column) -> Column:
+    """For each element what `add` makes of all before it, starting from zero; blocks of elements first, so in linear time."""
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, zero, add)
+
+    def of(v: Column) -> Column:
+        places = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _BLOCK).cast("int"))
+        sums = F.transform(places, lambda b: total(F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK))))
+        bases = let(sums, lambda s: F.transform(s, lambda _, b: total(F.slice(s, F.lit(1), b))))
+        inner = lambda base, b: let(
+            F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK)), lambda part: F.transform(part, lambda _, j: add(base, total(F.slice(part, F.lit(1), j))))
+        )
+        return F.when(F.size(v) > 0, F.flatten(F.transform(bases, inner))).otherwise(F.slice(v, F.lit(1), F.lit(0)))
 
-_HEX_LOW = "0123456789abcdef"
-_HEX_UP = "0123456789ABCDEF"
-_B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-_ALNUM = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-_B64 = _ALNUM + "+/_-"
+    return let(values, of)
 
 
-def spans_of(text: Column, pattern: str) -> tuple[Column, Column]:
-    """Matches of a pattern, and their starts in code points: both arrays, in order.
+def spans_of(text: Column, pattern: str, offset: Column | int = 0) -> Column:
+    """Matches of a pattern, in order: array of (start, end, value), in code points from `offset`.
 
     The pieces between the matches and the matches' own lengths add up to the starts.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return found, F.split(text, pattern, -1)
-
-
-def _placed(found: Column, gaps: Column, kind: int) -> Column:
-    """Array of (start, kind, end, value) structs."""
-    steps = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.length(m) + F.length(g))
+    offset = offset if isinstance(offset, Column) else F.lit(offset)
 
-    def one(m: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(steps, 1, i), F.lit(0), lambda a, x: a + x)
-        start = before + F.length(F.get(gaps, i))
-        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(m)).alias("end"), m.alias("value"))
+    def of(found: Column) -> Column:
+        def placed(gaps: Column) -> Column:
+            steps = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.length(m) + F.length(g))
+            before = running(steps, lambda a, x: a + x, F.lit(0))
+            starts = F.zip_with(before, F.slice(gaps, F.lit(1), F.size(found)), lambda b, g: offset + b + F.length(g))
+            return F.zip_with(starts, found, lambda s, m: F.struct(s.alias("start"), (s + F.length(m)).alias("end"), m.alias("value")))
 
-    return F.transform(found, one)
+        return let(F.split(text, pattern, -1), placed)
 
-
-def _normal_limit(alpha: float) -> float:
-    from statistics import NormalDist
-
-    return NormalDist().inv_cdf(1 - alpha)
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)
 
 
 def encoding(token: Column) -> Column:
-    """Characters of the alphabet that a token is inferred to be written in."""
-    return (
-        F.when(token.rlike("^[0-9a-f]+$"), F.lit(_HEX_LOW))
-        .when(token.rlike("^[0-9A-F]+$"), F.lit(_HEX_UP))
-        .when(token.rlike("^[A-Z2-7]+$"), F.lit(_B32))
-        .when(token.rlike("^[A-Za-z0-9]+$"), F.lit(_ALNUM))
-        .otherwise(F.lit(_B64))
-    )
-
-
-def is_random(token: Column, alphabet: Column, alpha: float = ALPHA) -> Column:
-    """Whether none of the three tests rejects uniform, independent characters."""
-    n = F.length(token).cast("double")
-    k = F.length(alphabet).cast("double")
-    chars = F.split(token, "")
-    places = F.transform(F.filter(chars, lambda c: c != ""), lambda c: F.instr(alphabet, c).cast("double"))
-    squares = F.aggregate(
-        F.transform(F.array_distinct(chars), lambda c: F.when(c == "", 0.0).otherwise(F.pow(F.length(token) - F.length(F.replace(token, c)), F.lit(2)).cast("double"))),
-        F.lit(0.0), lambda a, x: a + x,
-    )
-    chi = k / n * squares - n
-    uniform = (chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-    high = F.transform(places, lambda x: F.when(x > k / 2, 1.0).otherwise(0.0))
-    n1 = F.aggregate(high, F.lit(0.0), lambda a, x: a + x)
-    pairs = F.sequence(F.lit(1), F.size(high) - 1)
-    runs = 1 + F.aggregate(F.transform(pairs, lambda i: F.abs(F.element_at(high, i) - F.element_at(high, i + 1))), F.lit(0.0), lambda a, x: a + x)
-    mu = 2 * n1 * (n - n1) / n + 1
-    spread = F.greatest((mu - 1) * (mu - 2) / (n - 1), F.lit(1e-9))
-    runs_z = F.abs(runs - mu) / F.sqrt(spread)
-    mean = F.aggregate(places, F.lit(0.0), lambda a, x: a + x) / n
-    var = F.greatest(F.aggregate(places, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)), F.lit(1e-9))
-    lagged = F.aggregate(F.transform(pairs, lambda i: (F.element_at(places, i) - mean) * (F.element_at(places, i + 1) - mean)), F.lit(0.0), lambda a, x: a + x)
-    serial_z = F.abs(lagged / var + 1 / n) * F.sqrt(n)
-    one, two = _normal_limit(alpha), _normal_limit(alpha / 2)
-    return (uniform <= one) & (runs_z <= two) & (serial_z <= two) & (n1 > 0) & (n1 < n)
-
-
-def text_depth(token: Column, changes: float = TEXT_CHANGES, deepest: int = DEEPEST) -> Column:
-    """Whole powers of ten of 1/p: how improbable the class changes of a token are in ordinary text."""
-    n = (F.length(token) - 1).cast("double")
-    runs = F.size(F.regexp_extract_all(token, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+"), F.lit(0)))
-    share = F.least((runs - 1) / n, F.lit(1 - 1e-9))
-    safe = F.greatest(share, F.lit(1e-9))
-    divergence = safe * F.log(safe / changes) + (1 - safe) * F.log((1 - safe) / (1 - changes))
-    depth = F.when(share > changes, n * divergence / math.log(10)).otherwise(0.0)
-    return F.least(F.floor(depth), F.lit(deepest)).cast("int")
-
-
-def length_class(token: Column) -> Column:
-    return F.floor(F.log2(F.length(token).cast("double"))).cast("int")
-
-
-def depths_needed(tokens: DataFrame, rate: float = RATE, deepest: int = DEEPEST) -> DataFrame:
+    """The smallest alphabet that a token fits, and for each of its characters the log of random over text; padding is left out."""
+    out = None
+    for groups in ENCODINGS:
+        alphabet, scores = "", []
+        size = sum(len(chars) for chars, _ in groups)
+        for chars, share in groups:
+            shares = [LETTERS.get(c.lower(), 1) for c in chars]
+            alphabet += chars
+            scores += [math.log10(sum(shares) / (size * share * x)) for x in shares]
+        pattern = "^[" + "".join("\\-" if c == "-" else c for c in alphabet) + "]+={0,2}$"
+        value = F.struct(F.lit(alphabet).alias("alphabet"), F.array(*(F.lit(x) for x in scores)).alias("scores"))
+        out = F.when(token.rlike(pattern), value) if out is None else out.when(token.rlike(pattern), value)
+    return out
+
+
+def normal_tail(z: Column) -> Column:
+    """P(Z > z) of a standard normal, by a logistic of a cubic; within 0.0002."""
+    return 1 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z))
+
+
+def battery(token: Column) -> Column:
+    """(p_uniform, p_runs, p_serial, p, log_e) of a token; p is Fisher's combination of the three.
+
+    With n characters of an alphabet of k: chi-squared has mean k - 1 and variance
+    2 (k - 1) (n - 1) / n, and is tested by the cube root of a gamma variable of these; neighbours lie
+    in different halves of the alphabet with probability 1/2, so their number is binomial; the sum of
+    products of neighbouring ranks, centred and scaled, has mean 0 and variance n - 1. log_e is the
+    decimal logarithm of the token's likelihood as random characters over that as text.
+    """
+    core = F.regexp_replace(token, "=+$", "")
+
+    def tests(x: Column) -> Column:
+        n, k, ranks = x["n"], x["k"], x["ranks"]
+        squares = F.aggregate(F.array_distinct(ranks), F.lit(0.0), lambda a, r: a + F.pow(F.size(F.filter(ranks, lambda o: o == r)).cast("double"), F.lit(2.0)))
+        chi = k / n * squares - n
+        freedom = (k - 1) * n / (n - 1)
+        cube = (F.pow(F.greatest(chi, F.lit(0.0)) / (k - 1), F.lit(1 / 3)) - (1 - 2 / (9 * freedom))) / F.sqrt(2 / (9 * freedom))
+        pairs = F.zip_with(F.slice(ranks, F.lit(1), F.size(ranks) - 1), F.slice(ranks, F.lit(2), F.size(ranks) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        changes = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.when((p["a"] >= k / 2) != (p["b"] >= k / 2), 1.0).otherwise(0.0))
+        runs = F.greatest(F.abs(changes - (n - 1) / 2) - 0.5, F.lit(0.0)) / F.sqrt((n - 1) / 4)
+        middle = (k - 1) / 2
+        products = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["a"] - middle) * (p["b"] - middle))
+        serial = F.abs(products) / ((k * k - 1) / 12) / F.sqrt(n - 1)
+        log_e = F.aggregate(ranks, F.lit(0.0), lambda s, r: s + F.get(x["scores"], r.cast("int")))
+        ps = F.struct(normal_tail(cube).alias("u"), (2 * normal_tail(runs)).alias("r"), (2 * normal_tail(serial)).alias("s"), log_e.alias("e"))
+        return let(ps, combined)
+
+    def combined(p: Column) -> Column:
+        parts = [F.greatest(F.least(p[name], F.lit(1.0)), F.lit(1e-12)) for name in "urs"]
+        half = -(F.log(parts[0]) + F.log(parts[1]) + F.log(parts[2]))
+        fisher = F.exp(-half) * (1 + half + half * half / 2)
+        return F.struct(p["u"].alias("p_uniform"), p["r"].alias("p_runs"), p["s"].alias("p_serial"), fisher.alias("p"), p["e"].alias("log_e"))
+
+    def prepared(e: Column) -> Column:
+        ranks = F.transform(F.filter(F.split(core, ""), lambda c: c != ""), lambda c: (F.instr(e["alphabet"], c) - 1).cast("double"))
+        return F.struct(F.length(core).cast("double").alias("n"), F.length(e["alphabet"]).cast("double").alias("k"), ranks.alias("ranks"), e["scores"].alias("scores"))
+
+    return let(encoding(token), lambda e: let(prepared(e), tests))
+
+
+def length_class(length: Column) -> Column:
+    return F.floor(F.log2(length.cast("double"))).cast("int")
+
+
+def depths_needed(tokens: DataFrame, rate: float = RATE) -> DataFrame:
     """Per length class, the least depth at which the false-discovery rate holds; at most 31 rows.
 
-    Benjamini-Hochberg on counts: tokens at least d deep are discoveries if as many would be found
-    among all tokens of the class by chance at most `rate` times as often.
+    tokens: class, depth (whole powers of ten of the e-value; -1 where the battery rejects). The
+    procedure for e-values: tokens at least d deep are discoveries if 10**d is at least the number of
+    all tokens of the class over `rate` times that of the discoveries. It holds whatever the
+    dependence of the tokens, copies among them.
     """
-    own = tokens.select(length_class(F.col("token")).alias("class"), text_depth(F.col("token")).alias("depth"))
-    counts = own.groupBy("class", "depth").agg(F.count("*").alias("n"))
+    counts = tokens.groupBy("class", "depth").agg(F.count("*").alias("n"))
     deeper = Window.partitionBy("class").orderBy(F.col("depth").desc())
     ranked = counts.withColumn("_found", F.sum("n").over(deeper)).withColumn("_all", F.sum("n").over(Window.partitionBy("class")))
-    holds = F.col("_all") * F.pow(F.lit(10.0), -F.col("depth")) <= rate * F.col("_found")
+    holds = (F.col("depth") >= 0) & (F.col("_all") * F.pow(F.lit(10.0), -F.col("depth")) <= rate * F.col("_found"))
     return ranked.where(holds).groupBy("class").agg(F.min("depth").alias("needed"))
 
 
-def _may_have(kind: str) -> Column:
-    """A cheap condition without which no text has a span of a kind."""
-    text = F.col("_t")
-    if kind == "assign":
-        low = F.lower(text)
-        words = low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("api")
-        return (text.contains("=") | text.contains(":")) & words
-    if kind == "access":
-        return text.contains("AKIA")
-    return text.rlike(HEX if kind == "hex" else CHANGE)
+_SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
-    """docs with the base spans and the tokens that touch none of them, as arrays of structs."""
-    df = docs.withColumn("_t", F.coalesce("text", F.lit("")))
-    for kind, pattern in zip(KINDS, (ASSIGN, ACCESS, HEX, TOKEN), strict=True):
-        found, gaps = spans_of(F.col("_t"), pattern)
-        df = df.withColumn(f"_m_{kind}", F.when(_may_have(kind), found).otherwise(F.array().cast("array<string>")))
-        df = df.withColumn(f"_g_{kind}", F.when(F.size(f"_m_{kind}") > 0, gaps).otherwise(F.array().cast("array<string>")))
-    for i, kind in enumerate(KINDS):
-        df = df.withColumn(f"_s_{kind}", _placed(F.col(f"_m_{kind}"), F.col(f"_g_{kind}"), i))
-    long_value = F.filter("_s_assign", lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= LEAST_VALUE)
-    df = df.withColumn("_base", F.array_sort(F.concat(long_value, "_s_access", "_s_hex")))
-    clear = F.filter("_s_random", lambda s: s["value"].rlike(CHANGE) & ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return df.withColumn("_tokens", clear).drop(*[f"_{x}_{k}" for x in "mgs" for k in KINDS])
-
-
-def _with_spans(docs: DataFrame, rate: float) -> DataFrame:
-    scanned = _scanned(docs)
-    tokens = scanned.select(F.explode("_tokens.value").alias("token"))
-    needed = depths_needed(tokens, rate)
-    table = needed.agg(F.map_from_entries(F.collect_list(F.struct("class", "needed"))).alias("_needed"))
-    joined = scanned.withColumn("_one", F.lit(1)).join(F.broadcast(table.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    """docs with _base, the base spans as (start, kind, end), and _tokens: (start, end, class, depth) of tokens clear of them.
+
+    Tokens are looked for between assignments, so that one in an assignment, long or short, or one
+    that ends where an assignment begins, is left to it; one that holds another base span is left out.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    low = F.lower(text)
+    named = low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("api")
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+
+    def spans(pattern: str, may: Column) -> Column:
+        return F.when(may, spans_of(text, pattern)).otherwise(none)
 
-    def reported(s: Column) -> Column:
-        value = s["value"]
-        limit = F.coalesce(F.try_element_at("_needed", length_class(value)), F.lit(DEEPEST + 1))
-        return (text_depth(value) >= limit) & is_random(value, encoding(value))
+    df = docs.withColumn("_assign", spans(ASSIGN, (text.contains("=") | text.contains(":")) & named))
+    df = df.withColumn("_access", spans(ACCESS, text.contains("AKIA"))).withColumn("_hex", spans(HEX, text.rlike(HEX)))
 
-    return joined.withColumn("_spans", F.array_sort(F.concat("_base", F.filter("_tokens", reported))))
+    def plain(column: str, kind: int) -> Column:
+        return F.transform(column, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
+
+    long_value = F.filter("_assign", lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= LEAST_VALUE)
+    base = F.array_sort(F.concat(let(long_value, lambda a: plain(a, 0)), plain("_access", 1), plain("_hex", 2)))
+
+    def measured(t: Column) -> Column:
+        depth = let(battery(t["value"]), lambda b: F.when(b["p"] >= ALPHA, F.greatest(F.least(F.floor(b["log_e"]), F.lit(DEEPEST)), F.lit(0))).otherwise(-1))
+        return F.struct(t["start"].alias("start"), t["end"].alias("end"), length_class(F.length(t["value"])).alias("class"), depth.cast("int").alias("depth"))
+
+    def between(ends: Column) -> Column:
+        def tokens(gap: Column, i: Column) -> Column:
+            begin = F.get(ends, i)
+            found = spans_of(gap, TOKEN, begin)
+            clear = lambda t: ~t["value"].rlike(f"{ACCESS}|{HEX}") & ((i == F.size(ends) - 1) | (t["end"] < begin + F.length(gap)))
+            return F.transform(F.filter(found, clear), measured)
+
+        gaps = F.when(F.size("_assign") > 0, F.split(text, ASSIGN, -1)).otherwise(F.array(text))
+        return F.flatten(F.transform(gaps, tokens))
+
+    ends = F.concat(F.array(F.lit(0)), F.transform("_assign", lambda s: s["end"]))
+    no_tokens = F.array().cast("array<struct<start:int,end:int,class:int,depth:int>>")
+    tokens = F.when(text.rlike(TOKEN), let(ends, between)).otherwise(no_tokens)
+    return df.withColumn("_base", base.cast(_SPAN)).withColumn("_tokens", tokens).drop("_assign", "_access", "_hex")
+
+
+def _with_spans(scanned: DataFrame, tokens: DataFrame, rate: float) -> DataFrame:
+    """scanned with _spans: its base spans and the tokens that the rates allow, found over `tokens`."""
+    needed = depths_needed(tokens.select(F.explode("_tokens").alias("t")).select("t.class", "t.depth"), rate)
+    table = needed.agg(F.map_from_entries(F.collect_list(F.struct("class", "needed"))).alias("_needed"))  # one row of at most 31 entries
+    joined = scanned.withColumn("_one", F.lit(1)).join(F.broadcast(table.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    found = F.filter("_tokens", lambda t: t["depth"] >= F.coalesce(F.try_element_at("_needed", t["class"]), F.lit(DEEPEST + 1)))
+    spans = F.transform(found, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
+    return joined.withColumn("_spans", F.array_sort(F.concat("_base", spans.cast(_SPAN)))).drop("_needed")
 
 
 def _text_of(spans: str) -> Column:
@@ -193,10 +253,12 @@ def secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     docs: doc_id, text; other columns are ignored. Returns doc_id, n_assign, n_access, n_hex (base
     spans), base_sha256, spans and n_random. A span is kind:start:end in code points, end exclusive,
     in order of start, then kind. A null text counts as empty: no spans, the digest of nothing.
-    Repeated rows get a row each; an empty table gives no rows. Tokens that overlap a base span are
-    left to it. The limits of the length classes are one row of at most 31 numbers, broadcast.
+    Repeated rows get a row each; an empty table gives no rows. Texts are scanned once, in time linear
+    in their matches; the spans and measured tokens, not the texts, are written to the shared
+    checkpoint folder.
     """
-    out = _with_spans(docs.select("doc_id", "text"), rate)
+    scanned = checkpointed(_scanned(docs.select("doc_id", "text")).drop("text"))
+    out = _with_spans(scanned, scanned, rate)
     return out.select(
         "doc_id", _number("assign").alias("n_assign"), _number("access").alias("n_access"), _number("hex").alias("n_hex"),
         F.sha2(_text_of("_base"), 256).alias("base_sha256"), _text_of("_spans").alias("spans"),
@@ -205,23 +267,26 @@ def secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
 
 
 def redacted(docs: DataFrame, rate: float = RATE, mark: str = "[SECRET]") -> DataFrame:
-    """The documents with every span replaced by a mark; same columns as docs, n_chars counted anew."""
+    """The documents with every span, or run of overlapping spans, replaced by a mark.
+
+    Same columns as docs; n_chars is counted anew. Texts are scanned twice, not written in between.
+    """
     names = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias("text" if c == "text" else f"own{i}") for i, c in enumerate(names)])
-    out = _with_spans(inner, rate)
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("_t"), acc["at"] + 1, s["start"] - acc["at"])
-        return F.when(s["end"] <= acc["at"], acc).otherwise(
-            F.struct(
-                s["end"].alias("at"),
-                F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark))).alias("out"),
-            )
-        )
+    scanned = _scanned(inner)
+    out = _with_spans(scanned, scanned, rate)
+    text = F.col("text")
+
+    def cut(spans: Column) -> Column:
+        ends = F.transform(spans, lambda s: s["end"])
+
+        def joined(ahead: Column) -> Column:
+            pieces = F.zip_with(spans, ahead, lambda s, a: F.when(s["start"] < a, "").otherwise(F.concat(F.substring(text, a + 1, s["start"] - a), F.lit(mark))))
+            return F.concat(F.array_join(pieces, ""), F.substring(text, F.array_max(ends) + 1, F.length(text)))
+
+        return let(running(ends, lambda a, b: F.greatest(a, b), F.lit(0)), joined)
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cut = F.aggregate("_spans", begin, step, lambda a: F.concat(a["out"], F.substring(F.col("_t"), a["at"] + 1, F.length("_t"))))
-    text = F.when(F.size("_spans") == 0, F.col("text")).otherwise(cut)
+    changed = F.when(F.size("_spans") == 0, text).otherwise(let(F.col("_spans"), cut))
     columns = []
     for i, c in enumerate(names):
         if c == "text":
@@ -230,4 +295,4 @@ def redacted(docs: DataFrame, rate: float = RATE, mark: str = "[SECRET]") -> Dat
             columns.append(F.coalesce(F.length("_new"), F.lit(0)).cast(docs.schema[c].dataType).alias(c))
         else:
             columns.append(F.col(f"own{i}").alias(c))
-    return out.withColumn("_new", text).select(*columns)
+    return out.withColumn("_new", changed).select(*columns)
