@@ -77,3 +77,22 @@ def test_odd_documents(spark, odd_documents):
     assert len(out) == odd_documents.count() and all(0 <= r.score <= 1 for r in out)
     assert toxicity(odd_documents.limit(0), labels).count() == 0
     assert toxicity(odd_documents, labels.limit(0)).count() == odd_documents.count()
+
+
+def test_offsets_are_in_the_text_as_it_is(spark):
+    rows, labels = corpus(300)
+    rows = [(i, "İİİ ẞ " + t) for i, t in rows]
+    out = toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    texts = dict(rows)
+    words = [texts[r.doc_id][s.start : s.end] for r in out for s in r.spans]
+    assert sum(w.lower() in ("dreckhead", "dreckface", "scumbag") for w in words) >= 0.9 * len(words) > 0
+
+
+def test_long_texts_train_too(spark):
+    rows, labels = corpus(200)
+    rows = [(i, t + (" thing" * 3000 if y else "")) for (i, t), (_, y) in zip(rows, labels, strict=True)]
+    assert all(len(t) > 6000 for (_, t), (_, y) in zip(rows, labels, strict=True) if y)
+    out = toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    truth = dict(labels)
+    held = [r for r in out if r.held_out and truth[r.doc_id]]
+    assert held and sum(r.predicted for r in held) >= 0.9 * len(held)

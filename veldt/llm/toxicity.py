@@ -22,12 +22,17 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7)
-#: Bounds of the training sample: toxic documents (and twice as many others), and the longest text used.
+#: Bound of the training sample: toxic documents, and twice as many others.
 SAMPLE = 700
-SAMPLE_CHARS = 6_000
 SEGMENT = 128
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, with a character for each of its own, so that offsets agree."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def forms(word: str) -> list[str]:
     """The word and its prefixes, the features of a token."""
     return [f"w={word}", *(f"{n}={word[:n]}" for n in PREFIXES if len(word) >= n)]
@@ -162,7 +167,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 25, rate: float = 0.5
     Emission weights and transitions are trained together by adaptive gradient ascent on the
     conditional likelihood: observed less expected counts, the latter from forward-backward.
     """
-    docs = [TOKEN.findall(t.lower()) for t in texts]
+    docs = [TOKEN.findall(lowered(t)) for t in texts]
     marks = token_labels(docs, labels)
     types = sorted({w for d in docs for w in d})
     place = {w: i for i, w in enumerate(types)}
@@ -221,8 +226,8 @@ def fit(texts: list[str], labels: list[int], rounds: int = 25, rate: float = 0.5
     return Model(keep, bias, transition, layer)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE, longest: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
-    """At most `per_label` toxic and twice as many other texts, least by a hash of their id, none over `longest` characters.
+def training_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> tuple[list[str], list[int]]:
+    """At most `per_label` toxic and twice as many other texts, least by a hash of their id; texts are taken whole.
 
     Only rows whose crc32(doc_id as text) mod 5 is not 0 are used. The sample's ids are at most
     9 * per_label rows, so that side is broadcast; only the sample's texts reach the driver.
@@ -233,8 +238,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE,
     for y in (0, 1):
         part = usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(3 * per_label * (2 - y))
         ids = part if ids is None else ids.unionByName(part)
-    short = docs.select("doc_id", "text").where(F.length("text") <= longest)
-    rows = short.join(F.broadcast(ids), "doc_id")
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
     picked = []
     for y in (0, 1):
         picked += rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(per_label * (2 - y)).collect()
@@ -259,7 +263,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, span: float = 0
 
     docs: doc_id, text; other columns are ignored. Returns doc_id, score (0..1), predicted (1 if
     score >= threshold), n_toxic_tokens (expected), spans (array of start, end in code points of the
-    lower-cased text, marginal; for tokens whose marginal is at least `span`). Null, empty and
+    text, marginal; for tokens whose marginal is at least `span`). Null, empty and
     wordless texts score what the layer gives to a document without toxic tokens; repeated rows get
     a row each; whole texts are scored, however long; an empty table gives no rows.
     """
@@ -305,7 +309,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, span: float = 0
         for batch in batches:
             ids, texts, size = [], [], 0
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                t = (t.as_py() or "").lower()
+                t = lowered(t.as_py() or "")
                 if ids and size + len(t) > 1 << 21:
                     yield flush(ids, texts)
                     ids, texts, size = [], [], 0
