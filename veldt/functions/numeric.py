@@ -81,17 +81,22 @@ def spacing(start: Column, end: Column, i: Column, n: Column) -> Column:
     return F.when(n <= 1, start).otherwise(start + (end - start) * i / F.greatest(n - 1, F.lit(1)))
 
 
+# Colours of scores 0, 50 and 100, and of no score.
+HEAT = ((34, 211, 238), (250, 204, 21), (239, 68, 68))
+NO_HEAT = "#64748b"
+
+
 def heat_colour(score: Column) -> Column:
-    """#rrggbb between green, amber and red, in two linear pieces that meet at 50."""
+    """#rrggbb between the heat colours, in two linear pieces that meet at 50; a grey where there is no score."""
     s = clamp(score, 0, 100)
-    low, mid, high = (34, 139, 94), (226, 165, 52), (201, 60, 60)
+    low, mid, high = HEAT
 
     def channel(i: int) -> Column:
         first = low[i] + (mid[i] - low[i]) * s / 50
         second = mid[i] + (high[i] - mid[i]) * (s - 50) / 50
         return F.lower(F.lpad(F.hex(F.floor(F.when(s <= 50, first).otherwise(second) + 0.5).cast("long")), 2, "0"))
 
-    return F.concat(F.lit("#"), channel(0), channel(1), channel(2))
+    return F.coalesce(F.concat(F.lit("#"), channel(0), channel(1), channel(2)), F.lit(NO_HEAT))
 
 
 def polar(radius: Column, index: Column, count: int) -> tuple[Column, Column]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,66 +94,68 @@ def iso_day(c: Column, otherwise: str) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(c, r"^\d{4}-\d{2}-\d{2}", 0), F.lit("")), F.lit(otherwise))
 
 
+# What stands for a folder of somebody's machine, and how such folders look, in order.
+PORTABLE = (
+    (r"/[Uu]sers/[^/\"'\s]+/(?:[^\"'\r\n]*?/)?geng/", "external-source/"),
+    (r"/[Hh]ome/[^/\"'\s]+/(?:[^\"'\r\n]*?/)?geng/", "external-source/"),
+    (r"[A-Za-z]:/[Uu]sers/[^/\"'\s]+/(?:[^\"'\r\n]*?/)?", "external-source/"),
+    (r"/[Uu]sers/[^/\"'\s]+/", "user-home/"),
+    (r"/[Hh]ome/[^/\"'\s]+/", "user-home/"),
+)
+LOCAL = (r"(?:^|[\"'\s])/Users/", r"(?:^|[\"'\s])/home/", r"(?:^|[\"'\s])[A-Za-z]:\\", r"(?i)file://")
+
+
 def portable_path(c: Column) -> Column:
-    """Paths of somebody's machine reduced to their last part."""
+    """Paths of somebody's machine with a general name for their folder."""
     plain = F.replace(c, F.lit("\\"), F.lit("/"))
-    plain = F.regexp_replace(plain, r"file:/+", "/")
-    return F.regexp_replace(plain, r"(?:[A-Za-z]:)?/(?:Users|home|root|private|tmp|var)/(?:[^/\s\"']+/)*", "")
+    for pattern, name in PORTABLE:
+        plain = F.regexp_replace(plain, pattern, name)
+    return plain
 
 
 def local_path(c: Column) -> Column:
     """Whether a text names a path of somebody's machine."""
-    return (
-        c.rlike(r"/Users/[^/\s]+") | c.rlike(r"/home/[^/\s]+") | c.rlike(r"[A-Za-z]:\\[^\\\s]") | c.rlike(r"file://")
-    )
+    return c.rlike("|".join(f"(?:{p})" for p in LOCAL))
 
 
-_QUARTER = {"一": 1, "二": 2, "三": 3, "四": 4, "1": 1, "2": 2, "3": 3, "4": 4}
+# How periods are written. Groups: year, then month, quarter or half, then day.
+DAY_PERIOD = r"^(\d{4})(?:年|-|/|\.)(\d{1,2})(?:月|-|/|\.)(\d{1,2})日?$"
+QUARTER_PERIOD = r"(?i)^(\d{4})\s*(?:-?\s*Q([1-4])|年?\s*第?([一二三四1-4])季度)$"
+HALF_PERIOD = r"(?i)^(\d{4})\s*(?:-?\s*H([12])|年?\s*(上|下)半年)$"
+MONTHS_PERIOD = r"^(\d{4})年?\s*\d{1,2}\s*[—–-]\s*(\d{1,2})月$"
+MONTH_PERIOD = r"^(\d{4})(?:年|-|/|\.)(\d{1,2})月?$"
+YEAR_PERIOD = r"^(\d{4})(?:年|年度|年业绩)?$"
 
 
 def period_key(c: Column) -> Column:
-    """The last day of a free-form period as yyyymmdd; null if it is none.
+    """A number that sorts free-form periods by their end, yyyymmdd; null if a text is none.
 
-    Full dates, quarters, half-years, month ranges, months and years, in ISO or CJK writing. A period
-    shorter than a day can't be told apart from its day; longer ones sort by their end.
+    Full dates, quarters, half-years, month ranges, months and years, in ISO or CJK writing. Whatever
+    is longer than a day ends on a day 31 of its last month, so it sorts behind that month's days.
     """
+    t = F.trim(c)
 
     def number(pattern: str, group: int) -> Column:
-        return F.regexp_extract(c, pattern, group).try_cast("int")
+        return F.regexp_extract(t, pattern, group).try_cast("int")
 
     def end_of(year: Column, month: Column) -> Column:
-        return year * 10000 + month * 100 + F.dayofmonth(F.last_day(F.make_date(year, month, F.lit(1))))
-
-    day = r"(\d{4})(?:年(?=\d+月)|([-/.])(?=\d+\2))(0?[1-9]|1[0-2])[-/.月](0?[1-9]|[12]\d|3[01])日?"
-    quarter = r"(\d{4})年?[-\s]?(?:Q([1-4])|第?([一二三四1-4])季度)"
-    half = r"(\d{4})年?[-\s]?(?:H([12])|([上下])半年)"
-    months = r"(\d{4})[-/.年](0?[1-9]|1[0-2])月?[-~至到](0?[1-9]|1[0-2])月"
-    month = r"(\d{4})[-/.年](0?[1-9]|1[0-2])月?$"
-    year = r"^(\d{4})年?$"
-    q = F.coalesce(number(quarter, 2), *[F.when(F.regexp_extract(c, quarter, 3) == k, v) for k, v in _QUARTER.items()])
-    h = F.coalesce(number(half, 2), F.when(F.regexp_extract(c, half, 3) == "上", 1).when(F.regexp_extract(c, half, 3) == "下", 2))
+        return year * 10000 + month * 100 + 31
+
+    written = F.translate(F.concat(F.regexp_extract(t, QUARTER_PERIOD, 2), F.regexp_extract(t, QUARTER_PERIOD, 3)), "一二三四", "1234")
+    half = F.translate(F.concat(F.regexp_extract(t, HALF_PERIOD, 2), F.regexp_extract(t, HALF_PERIOD, 3)), "上下", "12")
     return (
-        F.when(c.rlike(day), number(day, 1) * 10000 + number(day, 3) * 100 + number(day, 4))
-        .when(c.rlike(quarter), end_of(number(quarter, 1), q * 3))
-        .when(c.rlike(half), end_of(number(half, 1), h * 6))
-        .when(c.rlike(months), end_of(number(months, 1), number(months, 3)))
-        .when(c.rlike(month), end_of(number(month, 1), number(month, 2)))
-        .when(c.rlike(year), number(year, 1) * 10000 + 1231)
+        F.when(t.rlike(DAY_PERIOD), number(DAY_PERIOD, 1) * 10000 + number(DAY_PERIOD, 2) * 100 + number(DAY_PERIOD, 3))
+        .when(t.rlike(QUARTER_PERIOD), end_of(number(QUARTER_PERIOD, 1), written.try_cast("int") * 3))
+        .when(t.rlike(HALF_PERIOD), end_of(number(HALF_PERIOD, 1), half.try_cast("int") * 6))
+        .when(t.rlike(MONTHS_PERIOD), end_of(number(MONTHS_PERIOD, 1), number(MONTHS_PERIOD, 2)))
+        .when(t.rlike(MONTH_PERIOD), end_of(number(MONTH_PERIOD, 1), number(MONTH_PERIOD, 2)))
+        .when(t.rlike(YEAR_PERIOD), end_of(number(YEAR_PERIOD, 1), F.lit(12)))
     )
 
 
 def fnv1a(c: Column) -> Column:
-    """FNV-1a, 32 bits, over the UTF-16 code units of a text, as 8 hex digits."""
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(text):
-            if text is None:
-                return None
-            h, raw = 0x811C9DC5, text.encode("utf-16-le")
-            for i in range(0, len(raw), 2):
-                h = ((h ^ (raw[i] | raw[i + 1] << 8)) * 0x01000193) & 0xFFFFFFFF
-            return f"{h:08x}"
-
-        return texts.map(one)
-
-    return run(c)
+    """FNV-1a, 32 bits, over the UTF-16 code units of a text, as 8 hex digits; no Python in it."""
+    units = F.split(F.hex(F.encode(c, "UTF-16BE")), "(?<=\\G.{4})")
+    step = lambda h, u: ((h.bitwiseXOR(F.conv(u, 16, 10).cast("long"))) * 0x01000193).bitwiseAND(F.lit(0xFFFFFFFF))
+    folded = F.aggregate(F.filter(units, lambda u: u != ""), F.lit(0x811C9DC5).cast("long"), step)
+    return F.lower(F.lpad(F.hex(folded), 8, "0"))

@@ -57,12 +57,32 @@ def debt_cost(interest: Column, debt: Column, debt_before: Column) -> Column:
     return F.try_divide(interest, (debt + debt_before) / 2) * 100
 
 
-def clues(items: DataFrame, pattern: str, most: int = 3) -> DataFrame:
-    """Items whose title or summary matches, per company, and the newest titles joined."""
+def nested_number(payload: Column, path: str) -> Column:
+    """A whole number of a JSON text; 0 where there is none."""
+    return F.coalesce(F.get_json_object(payload, path).try_cast("long"), F.lit(0).cast("long"))
+
+
+# What tells an administrative penalty about personal data.
+PRIVACY = "网络安全|数据安全|个人信息|隐私|算法|网信|信息保护"
+
+
+def privacy_penalties(items: DataFrame) -> DataFrame:
+    """Penalties per company whose record, as a whole, speaks of personal data. items: company_id and any other columns."""
+    return items.groupBy("company_id").agg(F.count_if(F.to_json(F.struct(*items.columns)).rlike(PRIVACY)).alias("privacy_penalties"), F.count("*").alias("penalties"))
+
+
+def person_risks(items: DataFrame, counters: list[str]) -> DataFrame:
+    """Sum of a person's risk counters, nulls as 0, per company."""
+    total = sum((F.coalesce(F.col(c), F.lit(0)) for c in counters[1:]), F.coalesce(F.col(counters[0]), F.lit(0)))
+    return items.groupBy("company_id").agg(F.sum(total).alias("person_risks"))
+
+
+def clues(items: DataFrame, pattern: str, most: int = 3, label: str = "title", joint: str = "；") -> DataFrame:
+    """Items whose title or summary matches, per company, and the labels of the newest joined."""
     hit = items.where(F.concat_ws(" ", "title", "summary").rlike(pattern))
-    w = Window.partitionBy("company_id").orderBy(F.col("date").desc(), "title")
+    w = Window.partitionBy("company_id").orderBy(F.col("date").desc(), label)
     top = hit.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "title"))), lambda x: x["title"]), "；")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", F.col(label).alias("label")))), lambda x: x["label"]), joint)
     return hit.groupBy("company_id").agg(F.count("*").alias("clues")).join(top.groupBy("company_id").agg(text.alias("excerpt")), "company_id")
 
 
@@ -74,10 +94,35 @@ def coverage_filled(coverage: DataFrame, new: DataFrame) -> DataFrame:
     return joined.withColumn("status", status).drop("_s")
 
 
+# Categories of a file by its name, in order, the last for all others; its class; its formats.
+CATEGORIES = (
+    ("风险指标|可审计工作簿", "risk-workbook"),
+    ("年报|招股书", "annual-reporting"),
+    ("财务报表|主营构成", "financial-reporting"),
+    ("专利|商标|软件著作权", "intellectual-property"),
+    ("供应商|客户|竞品|中标|招标", "commercial-relations"),
+    ("开庭|裁判|立案", "litigation"),
+    ("行政许可|税务信用|进出口信用|资质证书|监管措施", "regulatory-compliance"),
+    ("融资|并购|投资|参控股|发行股票|定向增发|理财", "financing-investment"),
+    ("人员|团队|控制人|受益人|股东|变更记录|工商信息", "corporate-governance"),
+    (r"(?i)\.zip$", "archive"),
+    ("", "company-profile"),
+)
+CLASSES = (("风险指标|可审计工作簿", "team-workbook"), ("年报|招股书", "public-filing"), (r"(?i)\.zip$", "private-archive"), ("", "commercial-data-export"))
+FORMATS = ("xlsx", "pdf", "zip")
+
+
+def first_match(c: Column, table: tuple[tuple[str, str], ...]) -> Column:
+    """The value of the first pattern that a text holds; the last pattern is empty, for all others."""
+    out = None
+    for pattern, value in table[:-1]:
+        out = F.when(c.rlike(pattern), value) if out is None else out.when(c.rlike(pattern), value)
+    return out.otherwise(table[-1][1])
+
+
 def catalogued(files: DataFrame) -> DataFrame:
-    """category, class and format of each file by its name. files: path."""
-    name = F.lower(F.element_at(F.split("path", "/"), -1))
-    form = F.regexp_extract(name, r"\.([a-z0-9]+)$", 1)
-    category = F.when(name.rlike("年报|annual"), "annual-report").when(name.rlike("问询|inquiry"), "inquiry").when(name.rlike("诉讼|litigation"), "litigation").otherwise("other")
-    known = F.when(form.isin("pdf", "xlsx", "xls", "csv", "json", "docx", "html", "md", "txt", "parquet"), form).otherwise(F.raise_error(F.concat(F.lit("unknown file type: "), "path")))
-    return files.withColumn("category", category).withColumn("format", known)
+    """category, class and format of each file by its name; another format is an error. files: path."""
+    name = F.element_at(F.split("path", "/"), -1)
+    form = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
+    known = F.when(form.isin(*FORMATS), form).otherwise(F.raise_error(F.concat(F.lit("unknown file type: "), "path")))
+    return files.select("*", first_match(name, CATEGORIES).alias("category"), first_match(name, CLASSES).alias("class"), known.alias("format"))

@@ -105,20 +105,40 @@ def leaks(df: DataFrame) -> DataFrame:
 
 
 def upserted(state: DataFrame, changes: DataFrame, keys: list[str], keep: list[str] = ()) -> DataFrame:
-    """State with changes applied: the last change of a key wins, `keep` columns stay as first written."""
+    """State with changes applied: the last change of a key wins, `keep` columns stay as first written.
+
+    changes has the columns of state and `version`; of changes of one version, the greatest row wins.
+    """
     every = state.withColumn("_w", F.lit(0).cast("long")).unionByName(changes.withColumnRenamed("version", "_w"), allowMissingColumns=True)
     rest = [c for c in state.columns if c not in keys and c not in keep]
     by = every.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), "_w").alias("r"), *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_w"))).alias(c) for c in keep]
+        F.max(F.struct("_w", *rest)).alias("r"), *[F.min(F.when(F.col(c).isNotNull(), F.struct("_w", c)))[c].alias(c) for c in keep]
     )
     return by.select(*keys, *[F.col(f"r.{c}") for c in rest], *keep)
 
 
 def patched(state: DataFrame, patch: DataFrame, keys: list[str]) -> DataFrame:
-    """State with the values that a patch gives; what it leaves null stays."""
-    fields = [c for c in state.columns if c not in keys]
-    p = patch.select(*keys, *[F.col(c).alias(f"_{c}") for c in fields])
-    return state.join(p, keys, "left").select(*keys, *[F.coalesce(f"_{c}", c).alias(c) for c in fields])
+    """State with the fields that a patch supplies, nulls among them; what it does not supply stays.
+
+    A column `given` of the patch names the fields that each of its rows supplies; a patch without it
+    supplies all fields that it has as columns.
+    """
+    fields = [c for c in state.columns if c not in keys and c in patch.columns]
+    given = F.col("given") if "given" in patch.columns else F.array(*map(F.lit, fields))
+    p = patch.select(*keys, given.alias("_given"), *[F.col(c).alias(f"_{c}") for c in fields])
+    new = {c: F.when(F.array_contains("_given", c), F.col(f"_{c}")).otherwise(F.col(c)) for c in fields}
+    return state.join(p, keys, "left").select(*[new[c].alias(c) if c in new else F.col(c) for c in state.columns])
+
+
+def cleared(state: DataFrame, gone: DataFrame, key: str = "company_id") -> DataFrame:
+    """State without anything of some companies."""
+    return state.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def status_set(tasks: DataFrame, task_ids: list[str], status: str, day: str) -> DataFrame:
+    """Tasks of which some have another status from a day on."""
+    own = F.col("task_id").isin(*task_ids)
+    return tasks.withColumns({"status": F.when(own, status).otherwise(F.col("status")), "updated_at": F.when(own, day).otherwise(F.col("updated_at"))})
 
 
 def cascade_deleted(state: DataFrame, children: DataFrame, gone: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

@@ -93,3 +93,26 @@ def write_csv(sections: list[tuple[str, DataFrame]], folder: str) -> None:
     for name, df in sections:
         head = df.sparkSession.createDataFrame([("﻿" + ",".join('"' + c.replace('"', '""') + '"' for c in df.columns),)], "line string")
         head.withColumn("_k", F.lit(0)).unionByName(csv_lines(df).withColumn("_k", F.lit(1))).orderBy("_k").select("line").write.mode("overwrite").text(f"{folder}/{name}")
+
+
+def status_summary(events: DataFrame) -> DataFrame:
+    """Events of each company by status, and the share that is done, in whole percent."""
+    done, n = F.count_if(F.col("status") == "done"), F.count("*")
+    return events.groupBy("company_id").agg(
+        n.alias("events"), done.alias("done"), F.count_if(F.col("status") == "open").alias("open"), F.floor(100 * done / n + 0.5).alias("response_rate")
+    )
+
+
+def coverage_summary(coverage: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows and usable rows of a coverage table by some keys; a status NA.. is not usable."""
+    return coverage.groupBy(*keys).agg(F.count("*").alias("rows"), F.count_if(~F.col("status").startswith("NA")).alias("usable"))
+
+
+def directory(groups: DataFrame, companies: DataFrame) -> DataFrame:
+    """Every peer group with the number of its companies and of those flagged; companies are counted before they are joined.
+
+    groups: peer_group_id and what describes it; companies: company_id, peer_group_id, flagged.
+    """
+    by = companies.groupBy("peer_group_id").agg(F.count("company_id").alias("companies"), F.count_if("flagged").alias("flagged"))
+    joined = groups.join(by, "peer_group_id", "left")
+    return joined.select(*groups.columns, *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("companies", "flagged")])

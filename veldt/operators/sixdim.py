@@ -15,12 +15,16 @@ def latest_reviewed(observations: DataFrame) -> DataFrame:
     """The newest validated observation of each company and indicator.
 
     By the parsed period, then the review time, then the period's text; combined before the shuffle.
+    Where any of a pair's periods can't be parsed, periods can't be compared, and the review time decides.
     """
     own = observations.where("status = 'validated'")
     rest = [c for c in own.columns if c not in ("company_id", "indicator_id")]
-    order = F.struct(F.coalesce(period_key(F.col("period")), F.lit(0)), F.coalesce("reviewed_at", F.lit("")), F.coalesce("period", F.lit("")))
-    by = own.groupBy("company_id", "indicator_id").agg(F.max_by(F.struct(*rest), order).alias("r"))
-    return by.select("company_id", "indicator_id", "r.*")
+    later = [F.coalesce("reviewed_at", F.lit("")), F.coalesce("period", F.lit(""))]
+    by_period = F.struct(F.coalesce(period_key(F.col("period")), F.lit(0)), *later)
+    by = own.groupBy("company_id", "indicator_id").agg(
+        F.max_by(F.struct(*rest), by_period).alias("p"), F.max_by(F.struct(*rest), F.struct(*later)).alias("t"), F.bool_and(period_key(F.col("period")).isNotNull()).alias("parsed")
+    )
+    return by.select("company_id", "indicator_id", F.when(F.col("parsed"), F.col("p")).otherwise(F.col("t")).alias("r")).select("company_id", "indicator_id", "r.*")
 
 
 def agreeing(observations: DataFrame, recomputed: DataFrame) -> DataFrame:

@@ -76,9 +76,37 @@ def incident_overlay(incidents: DataFrame) -> DataFrame:
     return by.select("company_id", "w.incident_id", F.col("w.index").alias("incident_index"), incident_floor(F.col("w.index")).alias("floor"), "forced")
 
 
-def final_score(base: DataFrame, overlay: DataFrame) -> DataFrame:
-    """The base score, raised to the incident's floor, and to 85 where a reason forces it."""
+# What forces a company's score to the floor, by indicator; the last joins its causes.
+FORCED = {
+    "kci-008": "核心专利大面积失效或无法覆盖主营产品",
+    "kci-009": "核心技术连续3年无有效更新",
+    "kci-010": "TRL 仅为自评且缺少实验或示范证据",
+    "kci-012": "存在强制或安全关键测试失败",
+    "kci-013": "关键技术外部依赖红旗：",
+}
+DEPENDENCY_CAUSES = (("single_source", "不可替代高影响单一来源"), ("export_restriction", "出口限制"), ("license_risk", "关键许可证不可续期"))
+
+
+def forced_reasons(flags: DataFrame) -> DataFrame:
+    """company_id, reasons: why an indicator's own inputs force the floor, in indicator order.
+
+    flags: company_id and booleans patent_failure (kci-008), stale (kci-009), self_assessed (kci-010),
+    safety_failure (kci-012), single_source, export_restriction, license_risk (kci-013). A null flag is no reason.
+    """
+    one = lambda flag, indicator: F.when(F.col(flag), FORCED[indicator])
+    causes = F.concat_ws("、", *[F.when(F.col(flag), cause) for flag, cause in DEPENDENCY_CAUSES])
+    reasons = F.array(
+        one("patent_failure", "kci-008"), one("stale", "kci-009"), one("self_assessed", "kci-010"), one("safety_failure", "kci-012"),
+        F.when(causes != "", F.concat(F.lit(FORCED["kci-013"]), causes)),
+    )
+    return flags.select("company_id", F.array_compact(reasons).alias("reasons"))
+
+
+def final_score(base: DataFrame, overlay: DataFrame, reasons: DataFrame | None = None) -> DataFrame:
+    """The base score, raised to the incident's floor, and to 85 where an incident or an indicator's reason forces it."""
     joined = base.join(overlay, "company_id", "left")
+    if reasons is not None:
+        joined = joined.join(reasons, "company_id", "left").withColumn("forced", F.coalesce("forced", F.lit(False)) | (F.coalesce(F.size("reasons"), F.lit(0)) > 0))
     raised = F.greatest(F.col("base_score"), F.coalesce("floor", F.lit(0)).cast("double"))
     forced = F.when(F.coalesce("forced", F.lit(False)), F.greatest(raised, F.lit(float(FORCED_FLOOR)))).otherwise(raised)
     return joined.select("company_id", "coverage", "base_score", F.coalesce("incident_index", F.lit(0.0)).alias("incident_index"), F.when(F.col("base_score").isNotNull(), forced).alias("score"))

@@ -115,10 +115,10 @@ def linked_sources(spark, folder):
     return out.select(F.col("observation_id").alias("o_orderkey"), F.array_join("source_ids", ",").alias("source_ids"))
 
 
-@query("""SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 = 0 THEN 'patched' END, c_name) AS c_name, c_mktsegment FROM customer WHERE c_custkey % 5 <> 1""")
+@query("""SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 = 0 THEN 'patched' END, c_name) AS c_name, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 5 <> 1""")
 def patch_and_delete(spark, folder):
     c = A.table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    patch = c.where("c_custkey % 3 = 0").select("c_custkey", F.lit("patched").alias("c_name"), F.lit(None).cast("string").alias("c_mktsegment"))
+    patch = c.where("c_custkey % 3 = 0").select("c_custkey", F.lit("patched").alias("c_name"), F.lit(None).cast("string").alias("c_mktsegment"), F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("c_name"), F.lit("c_mktsegment"))).otherwise(F.array(F.lit("c_name"))).alias("given"))
     gone = c.where("c_custkey % 5 = 1").select("c_custkey")
     return M.cascade_deleted(M.patched(c, patch, ["c_custkey"]), c, gone, "c_custkey")[0]
 
@@ -165,11 +165,11 @@ def official_metrics(spark, folder):
     return T.official_metrics(inputs)
 
 
-@query("""WITH c AS (SELECT s_suppkey, CAST(s_suppkey % 101 AS DOUBLE) AS s FROM supplier), k AS (SELECT s_suppkey, s,
-  floor(CASE WHEN s <= 50 THEN 34 + 192 * s / 50 ELSE 226 - 25 * (s - 50) / 50 END + CAST('0.5' AS DOUBLE))::INT AS r,
-  floor(CASE WHEN s <= 50 THEN 139 + 26 * s / 50 ELSE 165 - 105 * (s - 50) / 50 END + CAST('0.5' AS DOUBLE))::INT AS g,
-  floor(CASE WHEN s <= 50 THEN 94 - 42 * s / 50 ELSE 52 + 8 * (s - 50) / 50 END + CAST('0.5' AS DOUBLE))::INT AS b FROM c)
-SELECT s_suppkey, '#' || lpad(lower(hex(r)), 2, '0') || lpad(lower(hex(g)), 2, '0') || lpad(lower(hex(b)), 2, '0') AS colour FROM k""")
+@query("""WITH c AS (SELECT s_suppkey, CASE WHEN s_suppkey % 13 <> 0 THEN CAST(s_suppkey % 101 AS DOUBLE) END AS s FROM supplier), k AS (SELECT s_suppkey, s,
+  floor(CASE WHEN s <= 50 THEN 34 + 216 * s / 50 ELSE 250 - 11 * (s - 50) / 50 END + CAST('0.5' AS DOUBLE))::INT AS r,
+  floor(CASE WHEN s <= 50 THEN 211 - 7 * s / 50 ELSE 204 - 136 * (s - 50) / 50 END + CAST('0.5' AS DOUBLE))::INT AS g,
+  floor(CASE WHEN s <= 50 THEN 238 - 217 * s / 50 ELSE 21 + 47 * (s - 50) / 50 END + CAST('0.5' AS DOUBLE))::INT AS b FROM c)
+SELECT s_suppkey, CASE WHEN s IS NULL THEN '#64748b' ELSE '#' || lpad(lower(hex(r)), 2, '0') || lpad(lower(hex(g)), 2, '0') || lpad(lower(hex(b)), 2, '0') END AS colour FROM k""")
 def heat_colours(spark, folder):
     s = A.table(spark, folder, "supplier")
-    return s.select("s_suppkey", numeric.heat_colour((F.col("s_suppkey") % 101).cast("double")).alias("colour"))
+    return s.select("s_suppkey", numeric.heat_colour(F.when(F.col("s_suppkey") % 13 != 0, (F.col("s_suppkey") % 101).cast("double"))).alias("colour"))

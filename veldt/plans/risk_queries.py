@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veldt.functions import numeric, text
+from veldt.operators import enrich as N
 from veldt.operators import fixedweight as W
 from veldt.operators import graph as G
 from veldt.operators import merge as M
@@ -247,18 +248,17 @@ def merge_lineage(spark, folder):
 SELECT o_custkey, o_orderstatus, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM o) WHERE k = 1""")
 def upsert_last_wins(spark, folder):
     o = A.table(spark, folder, "orders").select("o_custkey", "o_orderstatus", "o_orderkey")
-    by = o.groupBy("o_custkey").agg(F.max_by(F.struct("o_orderstatus", "o_orderkey"), "o_orderkey").alias("r"))
-    return by.select("o_custkey", "r.*")
+    changes = o.withColumn("version", F.col("o_orderkey").cast("long") + 1)
+    return M.upserted(o.limit(0), changes, ["o_custkey"])
 
 
 @query("""SELECT n_name, r_name AS label, count(s_suppkey) AS companies, coalesce(sum(CASE WHEN s_acctbal < 0 THEN 1 ELSE 0 END), 0)::BIGINT AS negative
 FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2""")
 def directory_view(spark, folder):
     n, r, s = (A.table(spark, folder, t) for t in ("nation", "region", "supplier"))
-    joined = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).join(s, s.s_nationkey == n.n_nationkey, "left")
-    return joined.groupBy("n_name", F.col("r_name").alias("label")).agg(
-        F.count("s_suppkey").alias("companies"), F.coalesce(F.sum(F.when(F.col("s_acctbal") < 0, 1).otherwise(0)), F.lit(0)).cast("long").alias("negative")
-    )
+    groups = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").alias("peer_group_id"), "n_name", F.col("r_name").alias("label"))  # regions are five rows
+    companies = s.select(F.col("s_suppkey").alias("company_id"), F.col("s_nationkey").alias("peer_group_id"), (F.col("s_acctbal") < 0).alias("flagged"))
+    return V.directory(groups, companies).select("n_name", "label", "companies", F.col("flagged").alias("negative"))
 
 
 _COVERAGE = f"""{O.EVENTS}, seen AS (SELECT company_id, kind, count(*) AS n FROM risk_events GROUP BY 1, 2),
@@ -277,8 +277,7 @@ def coverage(spark, folder):
 
 @query(f"WITH {_COVERAGE} SELECT peer_group_id, kind, status, count(*) AS rows, sum(CASE WHEN status LIKE 'NA%' THEN 0 ELSE 1 END)::BIGINT AS usable FROM coverage GROUP BY 1, 2, 3")
 def coverage_summary(spark, folder):
-    c = coverage(spark, folder)
-    return c.groupBy("peer_group_id", "kind", "status").agg(F.count("*").alias("rows"), F.sum((~text.not_applicable(F.col("status"))).cast("long")).alias("usable"))
+    return V.coverage_summary(coverage(spark, folder), ["peer_group_id", "kind", "status"])
 
 
 @query(f"WITH {_COVERAGE} SELECT peer_group_id, kind AS indicator_id, count(*) AS companies FROM coverage GROUP BY 1, 2 HAVING bool_and(status NOT LIKE 'NA%')")
@@ -331,10 +330,7 @@ def monthly_trend(spark, folder):
 
 @query(f"WITH {_FLAGGED} SELECT company_id, count(*) AS events, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'open') AS open, floor(100 * count(*) FILTER (status = 'done') / CAST(count(*) AS DOUBLE) + CAST('0.5' AS DOUBLE))::BIGINT AS response_rate FROM flagged GROUP BY 1")
 def event_status_summary(spark, folder):
-    done = F.count_if(F.col("status") == "done")
-    return flagged(spark, folder).groupBy("company_id").agg(
-        F.count("*").alias("events"), done.alias("done"), F.count_if(F.col("status") == "open").alias("open"), F.floor(100 * done / F.count("*") + 0.5).alias("response_rate")
-    )
+    return V.status_summary(flagged(spark, folder))
 
 
 @query(f"WITH {_FLAGGED}, {O.COMPANIES} SELECT event_id, title, short_name, event_date, kind AS category FROM flagged JOIN companies USING (company_id) WHERE kind = 'screening' AND event_date >= '2024-01-10' ORDER BY event_date DESC, event_id LIMIT 18")
@@ -400,29 +396,24 @@ def ego_graph_edges(spark, folder):
 
 # ---- documents, numbers, text
 
-@query("""SELECT lang, count(*) AS documents, count(DISTINCT source) AS sources, count(*) FILTER (toxic = 1) AS toxic,
-  floor(100 * count(*) FILTER (toxic = 1) / CAST(greatest(count(toxic), 1) AS DOUBLE) * 1000000 + CAST('0.5' AS DOUBLE)) / 1000000 AS toxic_share FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""")
+@query("""SELECT lang, count(*) AS documents, count(DISTINCT source) AS sources,
+  floor(count(*) FILTER (toxic = 1) * CAST(100 AS DOUBLE) / greatest(count(*), 1) * 1000000 + CAST('0.5' AS DOUBLE)) / 1000000 AS toxic_share FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""")
 def news_metrics(spark, folder):
     d = A.table(spark, folder, "documents").select("doc_id", "lang", "source").join(A.table(spark, folder, "labels"), "doc_id", "left")
-    toxic = F.count_if(F.col("toxic") == 1)
-    return d.groupBy("lang").agg(
-        F.count("*").alias("documents"), F.count_distinct("source").alias("sources"), toxic.alias("toxic"),
-        numeric.half_up(100 * toxic / F.greatest(F.count("toxic"), F.lit(1)).cast("double"), 6).alias("toxic_share"),
-    )
+    items = d.select(F.col("lang").alias("company_id"), F.when(F.col("toxic") == 1, "negative").alias("sentiment"), F.lit(False).alias("keyword"), F.col("source").alias("media_name"))
+    return N.news(items).select(F.col("company_id").alias("lang"), F.col("n").alias("documents"), F.col("media").alias("sources"), F.col("negative_share").alias("toxic_share"))
 
 
-@query(f"""WITH {_FLAGGED} SELECT company_id, count(*) AS clues, string_agg(event_id::VARCHAR, ',' ORDER BY event_date DESC, event_id DESC) FILTER (k <= 3) AS excerpt
-FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY event_date DESC, event_id DESC) AS k FROM flagged WHERE regexp_matches(title, 'purchase|view')) GROUP BY 1""")
+@query(f"""WITH {_FLAGGED} SELECT company_id, count(*) AS clues, string_agg(event_id::VARCHAR, ',' ORDER BY event_date DESC, event_id::VARCHAR) FILTER (k <= 3) AS excerpt
+FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY event_date DESC, event_id::VARCHAR) AS k FROM flagged WHERE regexp_matches(title, 'purchase|view')) GROUP BY 1""")
 def clue_excerpts(spark, folder):
-    e = flagged(spark, folder).where(F.col("title").rlike("purchase|view"))
-    w = V.top_k(e, ["company_id"], [F.col("event_date").desc(), F.col("event_id").desc()], 3)
-    three = w.groupBy("company_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "event_id"))), lambda x: x["event_id"].cast("string")), ",").alias("excerpt"))
-    return e.groupBy("company_id").agg(F.count("*").alias("clues")).join(three, "company_id")
+    e = flagged(spark, folder).select("company_id", "title", F.lit("").alias("summary"), F.col("event_date").alias("date"), F.col("event_id").cast("string").alias("label"))
+    return N.clues(e, "purchase|view", 3, "label", ",")
 
 
 @query("""SELECT event_type, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS total, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS most FROM events GROUP BY 1""")
 def nested_extraction(spark, folder):
-    e = A.table(spark, folder, "events").withColumn("k", F.coalesce(F.get_json_object("props", "$.k").try_cast("long"), F.lit(0)))
+    e = A.table(spark, folder, "events").withColumn("k", N.nested_number(F.col("props"), "$.k"))
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("total"), F.max("k").alias("most"))
 
 
@@ -435,7 +426,10 @@ def numeric_functions(spark, folder):
     )
 
 
-_PERIODS = [("2026-Q2", 20260630), ("2025年", 20251231), ("2025年上半年", 20250630), ("2025-03-07", 20250307), ("2024年第四季度", 20241231), ("2024-02", 20240229), ("2025H2", 20251231), ("2025年1-6月", 20250630), ("soon", None)]
+_PERIODS = [
+    ("2026-Q2", 20260631), ("2026 q3", 20260931), ("2025年", 20251231), ("2024年度", 20241231), ("2024年业绩", 20241231), ("2025年上半年", 20250631), ("2025h1", 20250631), (" 2025-03-07 ", 20250307),
+    ("2025年3月7日", 20250307), ("2024年第四季度", 20241231), ("2024-02", 20240231), ("2025H2", 20251231), ("2025年1-6月", 20250631), ("on 2025-03-07 at noon", None), ("soon", None),
+]
 
 
 @query(f"WITH p(period, key) AS (VALUES {C.as_values(_PERIODS)}) SELECT s_suppkey, period, key FROM supplier CROSS JOIN p WHERE s_suppkey < 3")

@@ -74,11 +74,11 @@ def entropy_weights(spark, folder):
 m AS (SELECT benchmark_group, company_id, indicator_id AS c, risk_score / {D(100)} AS x FROM scores WHERE risk_score IS NOT NULL),
 p AS (SELECT a.benchmark_group, a.c AS a, b.c AS b, a.x, b.x AS y, avg(a.x) OVER w AS mx, avg(b.x) OVER w AS my FROM m a JOIN m b ON a.benchmark_group = b.benchmark_group AND a.company_id = b.company_id AND a.c <> b.c WINDOW w AS (PARTITION BY a.benchmark_group, a.c, b.c)),
 s AS (SELECT benchmark_group, a, b, count(*) AS pairs, sum((x-mx)*(y-my)) AS sxy, sum((x-mx)*(x-mx)) AS sxx, sum((y-my)*(y-my)) AS syy FROM p GROUP BY 1, 2, 3)
-SELECT benchmark_group, a, b, pairs, round(CASE WHEN pairs < 2 OR sxx * syy = 0 THEN 0 ELSE sxy / sqrt(sxx * syy) END, 6) AS rho FROM s""")
+SELECT benchmark_group, a, b, pairs, round(CASE WHEN pairs < 2 OR sxx * syy = 0 THEN 0 ELSE sxy / sqrt(sxx * syy) END, 6) + CAST(0 AS DOUBLE) AS rho FROM s""")
 def pairwise_correlation(spark, folder):
     scores = industry_scores(spark, folder).where("risk_score is not null")
     m = scores.select("benchmark_group", "company_id", F.col("indicator_id").alias("column"), (F.col("risk_score") / 100.0).alias("x"))
-    return S.correlations(m).select("benchmark_group", "a", "b", "pairs", F.round("rho", 6).alias("rho"))
+    return S.correlations(m).select("benchmark_group", "a", "b", "pairs", (F.round("rho", 6) + 0.0).alias("rho"))
 
 
 def _total_sql(method: str) -> str:
@@ -132,7 +132,7 @@ def full_anchor_score(spark, folder):
 
 
 @query(f"""WITH {O.SCORES} SELECT company_id, indicator_id, risk_score, k FROM (
-  SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY risk_score DESC, indicator_id) AS k FROM scores WHERE risk_score IS NOT NULL) WHERE k <= 5""")
+  SELECT * EXCLUDE (k), row_number() OVER (PARTITION BY company_id ORDER BY risk_score DESC, indicator_id) AS k FROM scores WHERE risk_score IS NOT NULL) WHERE k <= 5""")
 def top_five_metrics(spark, folder):
     from veldt.operators.serving import top_k
 

@@ -6,7 +6,7 @@ user number. All aggregations are by supplier and year, with partial aggregation
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -47,16 +47,21 @@ def observations(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_shipdate").cast("date").alias("day"), F.col("l_quantity").cast("long").alias("q"), "l_returnflag", "l_linestatus", "l_linenumber",
     )
     part = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_brand")
-    lines = line.join(part, "l_partkey")
-    by = lines.groupBy("s_suppkey", "y").agg(
-        F.max("day").alias("last"), F.count_distinct("l_partkey").alias("parts"), F.count("*").alias("n"),
-        F.count_if(F.col("p_type").startswith("PROMO")).alias("promo"), F.count_if(F.col("l_returnflag") == "R").alias("returned"),
-        F.count_if(F.col("l_linestatus") == "O").alias("open"), F.sum("q").alias("quantity"), F.count_distinct("l_orderkey").alias("orders"),
-        F.count_distinct("p_brand").alias("brands"), F.count_distinct("m").alias("months"), F.count_if(F.col("m") == 12).alias("december"),
-        F.count_if(F.col("l_linenumber") == 1).alias("first_lines"),
-    ).withColumn("as_of_date", F.date_format("last", "yyyy-MM-dd"))
-    before = by.select("s_suppkey", (F.col("y") + 1).alias("y"), F.col("quantity").alias("quantity_before"))
-    by = by.join(before, ["s_suppkey", "y"], "left")
+    owner = ["s_suppkey", "y"]
+    # distinct parts and orders are counted by a level of their own, not by expanding every line
+    parts = line.groupBy(*owner, "l_partkey").agg(
+        F.max("day").alias("last"), F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.count_if(F.col("l_linestatus") == "O").alias("open"),
+        F.sum("q").alias("quantity"), F.bit_or(F.expr("shiftleft(1, m)")).alias("months"), F.count_if(F.col("m") == 12).alias("december"), F.count_if(F.col("l_linenumber") == 1).alias("first_lines"),
+    )
+    orders = line.groupBy(*owner, "l_orderkey").agg(F.lit(1).alias("_")).groupBy(*owner).agg(F.count("*").alias("orders"))
+    by = parts.join(part, "l_partkey").groupBy(*owner).agg(
+        F.max("last").alias("last"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum(F.when(F.col("p_type").startswith("PROMO"), F.col("n")).otherwise(0)).alias("promo"),
+        F.sum("returned").alias("returned"), F.sum("open").alias("open"), F.sum("quantity").alias("quantity"), F.size(F.collect_set("p_brand")).alias("brands"),  # there are 25 brands
+        F.bit_count(F.bit_or("months")).alias("months"), F.sum("december").alias("december"), F.sum("first_lines").alias("first_lines"),
+    )
+    years = Window.partitionBy("s_suppkey").orderBy("y")
+    before = F.when(F.lag("y").over(years) == F.col("y") - 1, F.lag("quantity").over(years))
+    by = by.join(orders, owner).withColumn("as_of_date", F.date_format("last", "yyyy-MM-dd")).withColumn("quantity_before", before)
     key = F.col("s_suppkey")
     yearly = _long(by, {
         "cnipa_core_operating_entity_valid_count": ("R05", F.when(key % 5 != 0, F.col("parts"))),
