@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldt.functions.text import local_path, portable_path
+from veldt.registry import kept
 
 
 def union_all(tables: list[DataFrame], missing: bool = True) -> DataFrame:
@@ -41,7 +42,8 @@ def surrogate_keys(df: DataFrame, order: list[str], start: int, name: str = "key
     Rows are range-partitioned, counted per partition, and numbered within it.
     """
     spark = df.sparkSession
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).persist()
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    placed = kept("surrogate_keys", placed)
     counts = placed.groupBy("_p").count().orderBy("_p").collect()  # one row per partition
     total, rows = start, []
     for r in counts:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from veldt.functions.numeric import clamp, finite, half_up
 from veldt.plans.catalogue import COMPOSITE, COMPOSITE_PARTS, DIMENSIONS
+from veldt.registry import kept
 
 ANCHOR, ALPHA, BETA = 0.5, 0.5, 0.5
 
@@ -172,7 +173,7 @@ def dimension_scores(scores: DataFrame, weights: DataFrame) -> DataFrame:
     """company_id, benchmark_group, dimension_id, dimension_score over the weighted indicators."""
     own = scores.where("dimension_id <> 'narrative' and risk_score is not null")
     w = weights.withColumnRenamed("column", "indicator_id")
-    joined = own.join(F.broadcast(w), ["benchmark_group", "indicator_id"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    joined = own.join(w, ["benchmark_group", "indicator_id"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     return joined.groupBy("company_id", "benchmark_group", "dimension_id").agg(weighted_mean("risk_score", "weight").alias("dimension_score"))
 
 
@@ -182,11 +183,11 @@ def method_results(scores: DataFrame, method: str) -> tuple[DataFrame, DataFrame
         "benchmark_group", "company_id", F.col("indicator_id").alias("column"), (F.col("risk_score") / 100.0).alias("x")
     )
     first = objective_weights(matrix, method)
-    dims = dimension_scores(scores, first).persist()  # read by the second stage and by the totals
+    dims = kept("dimension_scores", dimension_scores(scores, first))  # read by the second stage and by the totals
     second_matrix = dims.select("benchmark_group", "company_id", F.col("dimension_id").alias("column"), (F.col("dimension_score") / 100.0).alias("x"))
     second = objective_weights(second_matrix, method)
     w = second.withColumnRenamed("column", "dimension_id")
-    joined = dims.join(F.broadcast(w), ["benchmark_group", "dimension_id"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    joined = dims.join(w, ["benchmark_group", "dimension_id"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     totals = joined.groupBy("company_id", "benchmark_group").agg(
         weighted_mean("dimension_score", "weight").alias("total_score"), F.count("dimension_score").alias("dimensions_scored")
     )

@@ -167,11 +167,6 @@ def benchmark_groups(spark, folder):
     return c.select("s_suppkey", "benchmark_group", V.group_label(F.col("benchmark_group"), F.col("segment"), F.col("industry")).alias("label"))
 
 
-def _totals(spark, folder):
-    scores = industry_scores(spark, folder)
-    return scores, S.method_results(scores, "critic")
-
-
 _ASSESSED = f"""{O.totals('critic')},
 usable AS (SELECT company_id, count(*) FILTER (kind <> 'litigation') AS n FROM risk_events GROUP BY 1),
 assessed AS (SELECT c.company_id, total_score AS score, coalesce(dimensions_scored, 0) AS assessable_dimensions, CASE WHEN total_score IS NULL THEN 'insufficient-evidence' ELSE 'manual-review' END AS review_status,
@@ -180,19 +175,13 @@ assessed AS (SELECT c.company_id, total_score AS score, coalesce(dimensions_scor
 
 
 def assessed(spark, folder):
-    dims, totals = industry_dims_totals(spark, folder)
+    _, dims, _, totals = S.method_results(industry_scores(spark, folder), "critic")
     c = A.companies(spark, folder).select("company_id").join(totals.select("company_id", "total_score"), "company_id", "left")
     status = A.events(spark, folder).select("company_id", F.when(F.col("kind") == "litigation", "NA-litigation").otherwise("available").alias("status"))
     narrative = c.select("company_id", F.lit(None).cast("double").alias("narrative_index"))
     return V.base_assessment(dims, narrative, c, status)
 
 
-def industry_dims_totals(spark, folder):
-    from veldt.plans.scoring_queries import dimension_score, industry_total_score
-
-    return dimension_score(spark, folder), industry_total_score(spark, folder)
-
-
 @query(f"WITH {_ASSESSED} SELECT company_id, score, level, assessable_dimensions, indicator_availability, review_status FROM assessed")
 def base_assessment(spark, folder):
     return assessed(spark, folder).drop("narrative_index")
@@ -247,7 +236,7 @@ def _all_risks(spark, folder):
 every AS (SELECT company_id, indicator_id, risk FROM risks UNION ALL SELECT company_id, indicator_id, floor(least(greatest(x, 0), 100) * 100 + CAST('0.5' AS DOUBLE)) / CAST(100 AS DOUBLE) FROM v),
 b AS (SELECT company_id, CAST(sum(weight) AS BIGINT) AS coverage, sum(weight * risk) AS total FROM every JOIN tw USING (indicator_id) WHERE risk IS NOT NULL GROUP BY 1),
 base AS (SELECT company_id, coverage, CASE WHEN coverage >= 70 THEN floor(least(greatest(total / coverage, 0), 100) * 100 + CAST('0.5' AS DOUBLE)) / CAST(100 AS DOUBLE) END AS base_score FROM b),
-{_INCIDENTS.split(', ', 0)[0].replace(O.EVENTS, O.EVENTS, 1)}, {_FLAGS}
+{_INCIDENTS}, {_FLAGS}
 SELECT base.company_id, coverage, round(base_score, 1) AS base_score, CASE WHEN base_score IS NOT NULL THEN round(greatest(base_score, coalesce(CASE WHEN incident_index <= 0 THEN 0 WHEN incident_index <= 2 THEN 40 WHEN incident_index <= 5 THEN 60 ELSE 85 END, 0),
   CASE WHEN coalesce(forced, false) OR f8 OR f9 OR f10 OR f12 OR single_source OR export_restriction THEN 85 ELSE 0 END), 1) END AS score
 FROM base LEFT JOIN worst USING (company_id) JOIN flags USING (company_id)""")

@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame
+
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
 
+_KEPT: dict[str, DataFrame] = {}
+
+
+def kept(name: str, df: DataFrame) -> DataFrame:
+    """df, cached until the next table is kept under the name, so that a session's storage does not fill up."""
+    if name in _KEPT:
+        _KEPT.pop(name).unpersist()
+    _KEPT[name] = df.persist()
+    return _KEPT[name]
+
+
 def query(sql: str | None = None):
     """Register a function under its name."""
 
