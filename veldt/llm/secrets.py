@@ -113,7 +113,8 @@ def encoding(token: Column) -> Column:
             alphabet += chars
             scores += [math.log10(sum(shares) / (size * share * x)) for x in shares]
         pattern = "^[" + "".join("\\-" if c == "-" else c for c in alphabet) + "]+={0,2}$"
-        value = F.struct(F.lit(alphabet).alias("alphabet"), F.array(*(F.lit(x) for x in scores)).alias("scores"))
+        written = F.split(F.lit(",".join(map(repr, scores))), ",").cast("array<double>")  # folded to one constant
+        value = F.struct(F.lit(alphabet).alias("alphabet"), written.alias("scores"))
         out = F.when(token.rlike(pattern), value) if out is None else out.when(token.rlike(pattern), value)
     return out
 
