@@ -106,7 +106,7 @@ def test_text_functions(spark):
         text.first_number(F.lit("about -1,234.5 yuan")).alias("d"), text.http_url(F.lit("ftp://x")).alias("e"), text.ellipsis(F.lit("abcdef"), 4).alias("f"), text.aliases(F.lit(" a; ;b")).alias("g"),
         numeric.month_gap(F.lit("2026-08-01").cast("date"), F.lit("2026-07-31").cast("date")).alias("h"),
     ).first()
-    assert one.a == '"\'=1+""a"""' and one.b == "see f.pdf" and one.c == _fnv("hello") and one.d == -1234.5 and one.e is False and one.f == "abc…" and one.g == ["a", "b"] and one.h == 1
+    assert one.a == '"\'=1+""a"""' and one.b == "see external-source/f.pdf" and one.c == _fnv("hello") and one.d == -1234.5 and one.e is False and one.f == "abc…" and one.g == ["a", "b"] and one.h == 1
 
 
 def _fnv(s):
