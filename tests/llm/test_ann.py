@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 
-from veldt.llm.ann import neighbours
+from veldt.llm.ann import _celled, _ranges, _routed, neighbours
 
 
 def brute(rows, k=10, every=100):
@@ -43,3 +43,22 @@ def test_copies_odd_vectors_and_few_candidates(spark):
     few = neighbours(df.where("vec_id in (0, 1, 200)")).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in few) == [(0, 1, 1), (0, 2, 200), (200, 1, 0), (200, 2, 1)]
     assert neighbours(df.limit(0)).count() == 0
+
+
+def test_many_cells_on_clustered_and_random_vectors(spark):
+    """Recall over many cells and blocks; in clusters, a query visits few of the other cells."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((40, 32)) * 10
+    clustered = centres[rng.integers(0, 40, 4000)] + rng.standard_normal((4000, 32)) * 0.3
+    for points, few in ((clustered, True), (rng.standard_normal((4000, 32)), False)):
+        rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = {}
+        for r in neighbours(df, block=100).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        want = brute(rows)
+        assert sum(len({j for _, j in want[q]} & got[q]) for q in want) >= 0.9 * 10 * len(want)
+        if few:
+            celled = _celled(df, 100)
+            queries = celled.where("vec_id % 100 = 0").selectExpr("*", "4.0D AS bound")
+            assert _routed(queries, _ranges(celled)).count() <= 0.25 * 40 * len(want)

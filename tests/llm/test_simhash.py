@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 import xxhash
 
-from veldt.llm.simhash import RADIUS, components, linked, links, majority, masks, near_copies, near_duplicates, reached, representatives
+from veldt.llm.simhash import RADIUS, components, linked, links, majority, masks, near_copies, near_duplicates, reached, representatives, stars
 
 
 def fingerprint(text, k=4):
@@ -160,3 +160,15 @@ def test_reached_connects_what_brute_force_does():
             values[i, b // 64] ^= np.uint64(1 << b % 64)
     pairs = [(i, j) for i, j in combinations(range(150), 2) if int(np.bitwise_count(values[i] ^ values[j]).sum()) <= 46]
     assert connected(reached(values, 46), range(150)) == connected(pairs, range(150))
+
+
+def test_stars_keep_components():
+    rnd = random.Random(6)
+    pairs = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
+    out = [tuple(x) for x in stars(np.array(pairs, np.int64)).tolist()]
+    values = {v for p in pairs for v in p}
+    assert connected(out, values) == connected(pairs, values) and len(out) < len(values)
+    groups = connected(out, values)
+    least = {v: min(g) for g in groups for v in g}
+    assert all(a == least[b] for a, b in out)
+    assert len(stars(np.zeros((0, 2), np.int64))) == 0

@@ -142,57 +142,75 @@ def reached(values: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return out
 
 
+def stars(pairs: np.ndarray) -> np.ndarray:
+    """Pairs (least of its component, node) for all nodes that the given pairs connect: fewer than there are nodes."""
+    nodes, place = np.unique(pairs, return_inverse=True)
+    a, b = place.reshape(-1, 2).T
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        root = root[root]
+        if (root == before).all():
+            break
+    own = np.flatnonzero(root != np.arange(len(nodes)))
+    return np.stack([nodes[root[own]], nodes[own]], 1)
+
+
 def in_buckets(keyed: DataFrame, names: list[str], limit: int, link) -> DataFrame:
     """Edges (a, b) between nodes that share a bucket and differ in at most `limit` bits of columns `names`.
 
     keyed: no and key, which name a bucket; node; names. Buckets are sorted runs of their partition,
     read one after the other: no bucket is ever one row. `link` connects the members of a bucket of
-    more than 32, given their values; smaller buckets are compared at once.
+    more than 32, given their values; smaller buckets are compared at once. What a task finds leaves
+    it as stars around the least node of each component, so a family of copies that meets in many
+    buckets costs a row for each of its members, not one for each meeting.
     """
     once = keyed.withColumn("_n", F.count("*").over(Window.partitionBy("no", "key"))).where("_n > 1")
     rows = once.select("no", "key", "node", *names)
 
-    def edges(node: np.ndarray, values: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        sizes = np.diff(np.append(first, len(group)))
+    def pairs_of(parts: list[pa.RecordBatch]) -> np.ndarray:
+        """Pairs that connect the members of each bucket; the parts hold whole buckets."""
+        table = pa.Table.from_batches(parts)
+        no, key, node = (table.column(c).to_numpy() for c in ("no", "key", "node"))
+        values = np.stack([table.column(c).to_numpy().view(np.uint64) for c in names], 1)
+        first = np.flatnonzero(np.append(True, (no[1:] != no[:-1]) | (key[1:] != key[:-1])))
+        sizes = np.diff(np.append(first, len(no)))
+        group = np.repeat(np.arange(len(first)), sizes)
         found: list[np.ndarray] = []
         for at, n in zip(first[sizes > 32].tolist(), sizes[sizes > 32].tolist(), strict=True):
-            pairs = np.array(link(values[at : at + n]), np.int64).reshape(-1, 2)
-            found.append(node[at + pairs])
+            found.append(node[at + np.array(link(values[at : at + n]), np.int64).reshape(-1, 2)])
         small = np.flatnonzero(np.repeat(sizes <= 32, sizes))
         group, own, who = group[small], values[small], node[small]
         for d in range(1, int(sizes[sizes <= 32].max(initial=1))):
             at = np.flatnonzero(group[d:] == group[:-d])
             at = at[np.bitwise_count(own[at + d] ^ own[at]).sum(1) <= limit]
             found.append(np.stack([who[at], who[at + d]], 1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # the last bucket seen, as it may go on
+        pairs: list[np.ndarray] = []
         for batch in batches:
             if not len(batch):
                 continue
-            held.append(batch)
             no, key = batch.column("no").to_numpy(), batch.column("key").to_numpy()
-            if (no[0] == no[-1] and key[0] == key[-1] and len(held) == 1):
-                continue
-            cut = int(np.flatnonzero((no == no[-1]) & (key == key[-1]))[0])
-            if cut == 0 and _first(held[0]) == _first(batch):
+            cut = int(np.flatnonzero((no != no[-1]) | (key != key[-1]))[-1]) + 1 if (no[0], key[0]) != (no[-1], key[-1]) else 0
+            if held and cut == 0 and _first(held[0]) == _first(batch):
+                held.append(batch)
                 continue
-            yield from whole([*held[:-1], batch.slice(0, cut)])
+            ended = [*held, batch.slice(0, cut)] if cut else held
+            if ended:
+                pairs.append(pairs_of(ended))
             held = [batch.slice(cut)]
-        yield from whole(held)
-
-    def whole(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [p for p in parts if len(p)]
-        if parts:
-            table = pa.Table.from_batches(parts)
-            no, key, node = (table.column(c).to_numpy() for c in ("no", "key", "node"))
-            values = np.stack([table.column(c).to_numpy().view(np.uint64) for c in names], 1)
-            new = np.append(True, (no[1:] != no[:-1]) | (key[1:] != key[:-1]))
-            yield from edges(node, values, np.cumsum(new))
+            if sum(map(len, pairs)) > 200_000:
+                pairs = [stars(np.concatenate(pairs))]
+        if held:
+            pairs.append(pairs_of(held))
+        out = stars(np.concatenate(pairs)) if pairs else np.zeros((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
 
     return rows.repartition("no", "key").sortWithinPartitions("no", "key").mapInArrow(run, "a long, b long").distinct()
 
