@@ -342,3 +342,42 @@ def coverage_enriched(spark, folder):
     c = coverage(spark, folder).select("company_id", F.col("kind").alias("indicator_id"), "status")
     found = c.where("company_id > 'star-000010'").select("company_id", "indicator_id", F.lit("found").alias("status"))
     return N.coverage_filled(c, found)
+
+
+# ---- scoring requests with planted mistakes
+
+@query(f"""WITH {O.COMPANIES}, k AS (SELECT company_id, s_suppkey AS s FROM companies)
+SELECT company_id, 'evidence-without-title-source-or-place' AS rule, 'e' || s AS entity FROM k WHERE s % 7 = 0 UNION ALL SELECT company_id, 'unknown-tier', 'e' || s FROM k WHERE s % 5 = 0 UNION ALL SELECT company_id, 'unsafe-url', 'e' || s FROM k WHERE s % 6 = 0
+UNION ALL SELECT company_id, 'publication-blank', 'e' || s FROM k WHERE s % 11 = 0
+UNION ALL SELECT company_id, 'event-without-title-or-summary', 'v' || s FROM k WHERE s % 8 = 0 UNION ALL SELECT company_id, 'unknown-severity', 'v' || s FROM k WHERE s % 9 = 0 UNION ALL SELECT company_id, 'event-of-unknown-indicator', 'v' || s FROM k WHERE s % 10 = 0
+UNION ALL SELECT company_id, 'red-flag-without-evidence', 'v' || s FROM k WHERE s % 4 = 0 UNION ALL SELECT company_id, 'event-of-unknown-evidence', 'v' || s || '|nope' FROM k WHERE s % 4 = 1
+UNION ALL SELECT company_id, 'path-of-unknown-event', 'p' || s FROM k WHERE s % 3 = 0 UNION ALL SELECT company_id, 'path-score-out-of-range', 'p' || s FROM k WHERE s % 13 = 0 UNION ALL SELECT company_id, 'unsound-edge', 'p' || s FROM k WHERE s % 17 = 0
+UNION ALL SELECT company_id, 'status-against-coverage', 'T01' FROM k WHERE s % 12 = 0 UNION ALL SELECT company_id, 'reference-without-place', 'T01|e' || s FROM k WHERE s % 14 = 0
+UNION ALL SELECT company_id, 'inference-without-basis', 'T01|e' || s FROM k WHERE s % 15 = 0 UNION ALL SELECT company_id, 'scored-without-evidence', 'T01' FROM k WHERE s % 15 = 0 UNION ALL SELECT company_id, 'method-version', company_id FROM k WHERE s % 16 = 0""")
+def request_violations(spark, folder):
+    from veldt.operators import request_rules as Q
+
+    k = A.companies(spark, folder).select("company_id", "s_suppkey")
+    s = F.col("s_suppkey")
+    when = lambda n, bad, good: F.when(s % n == 0, bad).otherwise(good)
+    name = lambda p: F.concat(F.lit(p), s)
+    none = F.lit(None).cast("string")
+    evidence = k.select(
+        "company_id", name("e").alias("evidence_id"), when(7, "", "title").alias("title"), F.lit("source").alias("source_name"), F.lit("page 1").alias("locator"), when(5, "blog", "media").alias("source_tier"),
+        when(6, "ftp://x", "https://e.example/").alias("url"), F.when(s % 11 == 0, " ").alias("published_at"),
+    )
+    ids = F.when(s % 4 == 0, F.array().cast("array<string>")).when(s % 4 == 1, F.array(F.lit("nope"))).otherwise(F.array(name("e")))
+    events = k.select(
+        "company_id", name("v").alias("event_id"), F.lit("title").alias("title"), when(8, " ", "summary").alias("summary"), when(9, "odd", "high").alias("severity"), F.lit(True).alias("red_flag"),
+        F.array(when(10, "X99", "T01")).alias("source_indicator_ids"), ids.alias("evidence_ids"),
+    )
+    edge = F.struct(F.lit("r").alias("relation_id"), when(17, 1.5, 0.5).alias("strength"), F.lit(1.0).alias("time_decay"), F.lit(0.5).alias("business_relevance"))
+    paths = k.select("company_id", name("p").alias("path_id"), F.when(s % 3 == 0, "none").otherwise(name("v")).alias("event_id"), when(13, 120.0, 50.0).alias("event_risk_score"), F.array(edge).alias("edges"))
+    indicators = k.select("company_id", F.lit("T01").alias("indicator_id"), F.lit("partial").alias("data_status"), when(12, 1.0, 0.75).alias("coverage_factor"), F.lit(0.5).alias("evidence_confidence"), F.lit(10.0).alias("risk_score"))
+    references = k.select("company_id", F.lit("T01").alias("indicator_id"), name("e").alias("evidence_id"), when(14, "", "page 2").alias("locator"), when(15, "inferred", "direct").alias("strength"), none.alias("basis"))
+    header = k.select("company_id", when(16, "old", C.FIXED_METHOD_VERSION).alias("method_version"), F.lit("2026-08-01").alias("assessment_at"), F.lit("2026-07-31").alias("data_cutoff"))
+    rules = [i for i, _, _ in C.FIXED_WEIGHTS]
+    parts = (
+        Q.header_errors(header), Q.evidence_errors(evidence), Q.status_errors(indicators), Q.reference_errors(references, evidence, indicators), Q.event_errors(events, evidence, rules), Q.path_errors(paths, events),
+    )
+    return M.union_all(list(parts))
