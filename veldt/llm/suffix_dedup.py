@@ -17,7 +17,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
-from veldt.llm.bytesio import CHUNK, covered, gram_codes, joined, owner
+from veldt.llm.bytesio import CHUNK, covered, gram_codes, joined, mixed, owner
 from veldt.llm.common import pack_plain, pack_sorted, unpack_plain, unpack_sorted
 from veldt.llm.exchange import KEY_BITS, answers, blocked, bucket_edges, in_order, member, with_nulls
 from veldt.llm.runindex import RunIndex
@@ -32,7 +32,11 @@ INDEX_BYTES = 1 << 18
 
 
 class _Anchors:
-    """Anchors of a block: for each run of windows with one anchor, its first and last window."""
+    """Anchors of a block: for each run of windows with one anchor, its first and last window.
+
+    Anchors are least hashes, so their keys are hashed once more: otherwise most would lie in the
+    first buckets and bins.
+    """
 
     def __init__(self, pdf: pd.DataFrame, depth: int = DEPTH, gram: int = GRAM):
         self.ids, self.texts = in_order(pdf)
@@ -63,7 +67,7 @@ class _Anchors:
             new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
             at = np.flatnonzero(new)
             if len(at):
-                parts.append((begin[at], begin[np.append(at[1:], len(begin)) - 1], hashes[place[at]] >> np.uint64(64 - KEY_BITS), doc[at]))
+                parts.append((begin[at], begin[np.append(at[1:], len(begin)) - 1], mixed(hashes[place[at]]) >> np.uint64(64 - KEY_BITS), doc[at]))
         if parts:
             self.first, self.last, self.keys, self.doc = (np.concatenate(x) for x in zip(*parts, strict=True))
         else:
