@@ -2,7 +2,7 @@
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame that works on all that its predecessor
 kept. run() writes every stage but the last as Parquet in the shared folder and reads it again, so a
-lost executor never sets back more than a stage.
+lost executor never sets back more than a stage; what a later stage has replaced is deleted.
 """
 
 from __future__ import annotations
@@ -57,6 +57,11 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, one after the other."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -64,4 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            _delete(spark, f"{folder}/{i - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
