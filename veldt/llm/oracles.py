@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from veldt.llm.filter_audit import filter_audit_sql
 from veldt.llm.mixing import MOST_REPEATS, SLOPES, WEIGHT_CYCLE
 from veldt.llm.quality import OTHER_PUNCTUATION, PUNCTUATION, LineRules
 from veldt.llm.urls import LEAST_GOOD, LEAST_STRENGTH, MOST_STRENGTH, RULES, STRENGTH, Z, registered
+from veldt.llm.vector_codes import vector_codes_sql
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -143,4 +145,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_quality_rules": quality_sql(),
         "op9_url_filter": url_filter_sql(),
         "op10_substring_dedup": SUBSTRING_SQL,
+        "op11_filter_audit": filter_audit_sql(),
+        "op13_vector_codes": vector_codes_sql(),
     }
