@@ -10,15 +10,21 @@ QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
 
-_KEPT: dict[str, DataFrame] = {}
+#: name to the application that keeps a table under it, and the table
+_KEPT: dict[str, tuple[str, DataFrame]] = {}
 
 
 def kept(name: str, df: DataFrame) -> DataFrame:
-    """df, cached until the next table is kept under the name, so that a session's storage does not fill up."""
-    if name in _KEPT:
-        _KEPT.pop(name).unpersist()
-    _KEPT[name] = df.persist()
-    return _KEPT[name]
+    """df, cached until the next table is kept under the name, so that an application's storage does not fill up.
+
+    What an application kept that has ended since is gone with it.
+    """
+    application = df.sparkSession.sparkContext.applicationId
+    before = _KEPT.pop(name, None)
+    if before and before[0] == application:
+        before[1].unpersist()
+    _KEPT[name] = application, df.persist()
+    return df
 
 
 def query(sql: str | None = None):
