@@ -10,7 +10,7 @@ from veldt.operators import graph as G
 from veldt.operators import merge as M
 from veldt.operators import sixdim as X
 from veldt.operators import validate as R
-from veldt.sources import files
+from veldt.sources import files, partitioned
 
 
 def workbook(path, rows):
@@ -43,7 +43,7 @@ def test_sqlite_json_digest_and_state(spark, tmp_path):
     with sqlite3.connect(tmp_path / "x.db") as c:
         c.execute("create table t (a integer, b text)")
         c.executemany("insert into t values (?, ?)", [(1, "p"), (2, None), (3, "q")])
-    df = files.sqlite_table(spark, str(tmp_path / "x.db"), "t", "a long, b string", "a > ?", (1,), batch=1)
+    df = partitioned.sqlite_rows(spark, str(tmp_path / "x.db"), "t", "a > ?", (1,), rows=1)
     assert sorted((r.a, r.b) for r in df.collect()) == [(2, None), (3, "q")]
     (tmp_path / "d.json").write_text('{"rows": [{"k": "a", "n": 1}, {"k": "b"}]}')
     assert [tuple(r) for r in files.json_records(spark, str(tmp_path / "d.json"), "k string, n long", "rows").collect()] == [("a", 1), ("b", None)]

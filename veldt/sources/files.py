@@ -1,10 +1,9 @@
-"""Sources and sinks: tables that may be absent, JSON, binary files with digests, workbooks, SQLite, state."""
+"""Sources and sinks: tables that may be absent, JSON, binary files with digests, workbooks, state."""
 
 from __future__ import annotations
 
 import io
 import re
-import sqlite3
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -116,21 +115,6 @@ def sheet_errors(cells: DataFrame, sheet: str, headers: list[str], required: lis
     return blank.unionByName(pending)
 
 
-def sqlite_table(spark: SparkSession, path: str, table: str, schema: str, where: str = "1 = 1", params: tuple = (), batch: int = 50_000) -> DataFrame:
-    """Rows of a table of a local SQLite file, read on the driver in batches.
-
-    Files of this kind are small and local; larger ones belong in Parquet.
-    """
-    if not re.fullmatch(r"\w+", table):
-        raise ValueError("not a table name")
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as connection:
-        parts = [spark.createDataFrame(p.astype(object).where(p.notna(), None), schema) for p in pd.read_sql_query(f"SELECT * FROM {table} WHERE {where}", connection, params=params, chunksize=batch) if len(p)]  # noqa: S608
-    out = spark.createDataFrame([], schema)
-    for p in parts:
-        out = out.unionByName(p)
-    return out
-
-
 def write_json(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").json(folder)
 
