@@ -62,3 +62,17 @@ def test_many_cells_on_clustered_and_random_vectors(spark):
             celled = _celled(df, 100)
             queries = celled.where("vec_id % 100 = 0").selectExpr("*", "4.0D AS bound")
             assert _routed(queries, _ranges(celled)).count() <= 0.25 * 40 * len(want)
+
+
+def test_pivots_are_the_least_hashes_and_few_rows_are_ordered(spark):
+    from pyspark.sql import functions as F
+
+    from veldt.llm.ann import _pivots
+
+    df = spark.range(20_000).selectExpr("id AS vec_id", "array(double(id), 1D) AS embedding")
+    hashes = sorted((r.h, r.vec_id) for r in df.select(F.xxhash64("vec_id").alias("h"), "vec_id").collect())
+    got = sorted((r.k, r.embedding[0]) for r in _pivots(df, 1000).collect())
+    assert got == [(i + 1, float(v)) for i, (_, v) in enumerate(hashes[:20])]
+    assert sorted(r.embedding[0] for r in _pivots(df.limit(5), 1000).collect()) == [min((h, v) for h, v in hashes if v < 5)[1]]
+    one = spark.range(5000).selectExpr("7L AS vec_id", "array(double(id % 3), 1D) AS embedding")  # one id, few vectors
+    assert [(r.k, r.embedding) for r in _pivots(one, 1000).collect()] == [(1, [0.0, 1.0])]

@@ -142,3 +142,33 @@ def test_odd_documents(spark, odd_documents):
     docs = [(r.doc_id, r.text) for r in odd_documents.select("doc_id", "text").collect()]
     check(pack(odd_documents, PATH).collect(), docs)
     assert pack(odd_documents.limit(0), PATH).count() == 0
+
+
+def test_sequences_follow_the_training_order(spark, sample, tmp_path):
+    """Rows written in order keep their places; sequences are numbered by the mean place; waste is that of any dealing."""
+    from pyspark.sql import functions as F
+
+    from veldt.llm.packing import in_file_order
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    sample.unionByName(sample.where("doc_id % 3 = 0")).orderBy(F.xxhash64("doc_id", "text")).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    placed = in_file_order(docs)
+    order = [r.h for r in placed.select("place", F.xxhash64("doc_id", "text").alias("h")).orderBy("place").collect()]
+    assert order == sorted(order) and sorted(r.place for r in placed.collect()) == list(range(docs.count()))
+    assert in_file_order(spark.createDataFrame([(1, "x")], "doc_id long, text string")) is None
+    rows, plain = pack(placed, path, place="place").collect(), pack(docs, path).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in plain)
+    assert len({r.sequence_id for r in rows}) == len({r.sequence_id for r in plain}) == max(r.sequence_id for r in rows) + 1
+    own = {}
+    for r in rows:
+        own.setdefault(r.sequence_id, []).append(r)
+    means = [sum(r.place for r in own[i]) / len(own[i]) for i in range(len(own))]
+    assert means == sorted(means)
+    for pieces in own.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 4096
+    assert len({(r.place, r.piece) for r in rows}) == len(rows)  # copies of a document are told apart

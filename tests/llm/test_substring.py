@@ -67,3 +67,15 @@ def test_complementary_words_and_sequences_are_different(spark):
     rows = [(1, f"{plain} {word}"), (2, f"{plain} {flip}"), (3, " ".join(word[:64])), (4, " ".join(flip[:64])), (5, f"{plain} {word[:1024]}"), (6, f"{plain} {flip[:1024]}")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in without_repeats(df).collect()) == brute(rows, 20)
+
+
+def test_the_largest_id_is_an_id(spark):
+    from veldt.llm.substring import without_repeats
+    from veldt.llm.suffix_dedup import without_repeated_bytes
+
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(2**63 - 1, words), (None, words), (None, "other"), (-(2**63), "short"), (5, words), (2**63 - 1, "a" + words)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for f in (without_repeats, without_repeated_bytes):
+        got = sorted(((r.doc_id is None, r.doc_id or 0), r.n_removed > 0) for r in f(df).collect())
+        assert got == sorted([((False, 2**63 - 1), True), ((True, 0), True), ((True, 0), False), ((False, -(2**63)), False), ((False, 5), False), ((False, 2**63 - 1), True)])

@@ -182,14 +182,28 @@ def _searcher(k: int):
     return run
 
 
+def _pivots(good: DataFrame, block: int) -> DataFrame:
+    """size, k, embedding: the vectors of the least hashes of their ids, of each length, as many as blocks, at most MOST_PIVOTS.
+
+    Only vectors whose hash is under what some four times as many should have are moved, once for an id, and the
+    very least of each length, so that what one task orders doesn't grow with the table.
+    """
+    hashed = good.select(F.size("embedding").alias("size"), F.xxhash64("vec_id").alias("h"), "vec_id", "embedding")
+    row = F.struct("h", "vec_id", "embedding")
+    lengths = hashed.groupBy("size").agg(F.count("*").alias("n"), F.min(row).alias("least"))
+    wanted = F.least(F.greatest(F.ceil(F.col("n") / block), F.lit(1)), F.lit(MOST_PIVOTS))
+    below = hashed.join(F.broadcast(lengths.select("size", "n")), "size").withColumn("wanted", wanted)  # a row a length
+    share = F.col("h") / 2.0**64 + 0.5
+    few = below.where(share <= 4 * F.col("wanted") / F.col("n")).groupBy("size", "wanted", "h", "vec_id").agg(F.min("embedding").alias("embedding"))
+    first = lengths.select("size", wanted.alias("wanted"), "least.*")
+    every = few.unionByName(first).dropDuplicates(["size", "h", "vec_id", "embedding"])
+    k = F.row_number().over(Window.partitionBy("size").orderBy("h", "vec_id", "embedding"))
+    return every.withColumn("k", k).where(F.col("k") <= F.col("wanted")).select("size", "k", "embedding")
+
+
 def _celled(good: DataFrame, block: int) -> DataFrame:
     """good with its cell: the length of the vector and the nearest pivot of this length, in one number."""
-    size = F.size("embedding")
-    lengths = good.groupBy(size.alias("size")).agg(F.count("*").alias("n"))
-    order = Window.partitionBy("size").orderBy(F.xxhash64("vec_id"), "vec_id", "embedding")
-    wanted = F.least(F.greatest(F.ceil(F.col("n") / block), F.lit(1)), F.lit(MOST_PIVOTS))
-    few = good.withColumn("size", size).join(F.broadcast(lengths), "size")  # a row a length
-    picked = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.least(wanted, F.lit(MOST_PIVOTS))).select("size", "k", "embedding").collect()
+    picked = _pivots(good, block).collect()
     pivots: dict[int, list] = {}
     for r in sorted(picked, key=lambda r: (r["size"], r["k"])):
         pivots.setdefault(r["size"], []).append(r["embedding"])

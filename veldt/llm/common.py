@@ -40,11 +40,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def running_totals(
-    df: DataFrame, group: list[str], value: str, tie: list[str], rows: int, into: str = "before", slim: DataFrame | None = None
+    df: DataFrame, group: list[str], value: str, tie: list[str], rows: int, into: str = "before", slim: DataFrame | None = None,
+    place: str | None = None, places: int = 1,
 ) -> DataFrame:
     """Add the sum of `value` over the rows of the same group that come earlier.
 
-    Order within a group: a hash of the `tie` columns, then these columns. No window holds a whole
+    Order within a group: a hash of the `tie` columns, or the number `place`, from 0 to under `places`, then the
+    `tie` columns. No window holds a whole
     group: rows fall into hash-ordered buckets, bucket sums are accumulated (about sqrt(rows) of
     them a group), and only a bucket's own rows are ordered, so that a group with a third of all
     rows is spread like any other. Null groups are a group. `slim`, if given, has the same rows with
@@ -53,7 +55,10 @@ def running_totals(
     bits = max(10, math.ceil(math.log2(max(rows, 1)) / 2))
 
     def bucketed(rows_: DataFrame) -> DataFrame:
-        out = rows_.withColumn("_order", F.xxhash64(*tie)).withColumn("_bucket", F.shiftrightunsigned("_order", 64 - bits))
+        if place is None:
+            out = rows_.withColumn("_order", F.xxhash64(*tie)).withColumn("_bucket", F.shiftrightunsigned("_order", 64 - bits))
+        else:
+            out = rows_.withColumn("_order", F.col(place)).withColumn("_bucket", F.floor(F.col(place) * ((1 << bits) / max(places, 1))).cast("long"))
         for g in group:
             out = out.withColumn(f"_no_{g}", F.col(g).isNull().cast("int"))
             out = out.withColumn(f"_key_{g}", F.coalesce(F.col(g).cast("string"), F.lit("")))

@@ -18,34 +18,34 @@ from veldt.llm.common import unpack_sorted
 
 #: bits of a truncated key; a chance collision only makes more candidates
 KEY_BITS = 46
-#: stands for a null id: after all others
+#: stands for a null id in comparisons: after all others; that a row has no id is carried by `no_id`
 NO_ID = 2**63 - 1
 
 
 def blocked(docs: DataFrame, block_bytes: int, bucket_bytes: int) -> tuple[DataFrame, int, int]:
-    """(block, doc_id, text as bytes), the number of blocks, the number of buckets."""
+    """(block, doc_id, no_id, text as bytes), the number of blocks, the number of buckets."""
     plain = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")
     )
     total = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(24, math.ceil(total / block_bytes))
     # rows without an id are spread by their texts
-    block = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id") == NO_ID, F.col("text"))), F.lit(blocks)).cast("int")
+    block = F.pmod(F.xxhash64("doc_id", F.when(F.col("no_id"), F.col("text"))), F.lit(blocks)).cast("int")
     rows = plain.withColumn("block", block).repartition(blocks, "block")
-    return rows.select("block", "doc_id", "text"), blocks, max(24, math.ceil(total / bucket_bytes))
+    return rows.select("block", "doc_id", "no_id", "text"), blocks, max(24, math.ceil(total / bucket_bytes))
 
 
 def with_nulls(df: DataFrame) -> DataFrame:
     """Give rows without an id their null back."""
-    return df.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    return df.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 
 
-def in_order(pdf: pd.DataFrame) -> tuple[np.ndarray, list[bytes]]:
-    """Ids and texts of a block, by id; rows of one id in the order of their texts."""
+def in_order(pdf: pd.DataFrame) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Ids and texts of a block, by id, and which rows have none; rows of one id in the order of their texts."""
     ids = pdf["doc_id"].to_numpy()
     texts = pdf["text"].to_list()
     order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i])) if len(set(ids.tolist())) < len(ids) else np.argsort(ids)
-    return ids[order], [texts[i] for i in order]
+    return ids[order], [texts[i] for i in order], pdf["no_id"].to_numpy()[order]
 
 
 def bucket_edges(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:

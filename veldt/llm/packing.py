@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -268,15 +269,15 @@ def slots(found: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, int,
     return out
 
 
-def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Pieces of every document: doc_id, piece, start, length, ids_crc32.
+def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, place: str | None = None) -> DataFrame:
+    """Pieces of every document: doc_id, piece, start, length, ids_crc32, and its place if a column is named.
 
     White space separates words in this kind of vocabulary (it is dropped before anything is merged),
     so documents are put together from the ids of their words and marks. What a task keeps of them
     is bounded and ends with the task.
     """
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", place long" if place else "")
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()) + ((pa.int64(),) if place else ())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(tokenizer)
@@ -285,15 +286,16 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
             rows: list[tuple] = []
             for some in _portions(batch):
                 texts = [t or "" for t in some.column(1).to_pylist()]
-                for doc_id, tokens in zip(some.column(0).to_pylist(), encode(texts), strict=True):
+                more = [(x,) for x in some.column(2).to_pylist()] if place else [()] * len(texts)
+                for doc_id, tokens, own in zip(some.column(0).to_pylist(), encode(texts), more, strict=True):
                     data = tokens + end
                     for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[at : at + 4 * capacity]
-                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
+                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), *own))
+            columns = list(zip(*rows, strict=True)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text", *([F.col(place).cast("long")] if place else [])).mapInArrow(run, schema)
 
 
 def _portions(batch: pa.RecordBatch, bound: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -495,9 +497,12 @@ class Encoder:
         ]
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, nodes: int | None = NODES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, nodes: int | None = NODES, place: str | None = None) -> DataFrame:
     """Pack all documents into as few sequences of at most `capacity` tokens as the search finds.
 
+    With `place`, a column of numbers from 0 on in training order, equal lengths are dealt in this order, and
+    sequences are numbered by the mean place of their pieces; place is then a column of the result.
+
     docs: doc_id, text; other columns are ignored. A document is its ids and one end id; only longer
     ones are cut, into pieces of `capacity`. Returns doc_id, piece, start, length, ids_crc32,
     sequence_id, offset. Null texts count as empty: one piece, the end id. Repeated rows are packed
@@ -508,24 +513,52 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     `capacity`, so they are under sqrt(2 * capacity) each, and each pattern uses up, or at least
     halves, a count of the histogram.
     """
-    pieces = checkpointed(tokenized(docs, tokenizer, capacity, end_id))
+    pieces = checkpointed(tokenized(docs, tokenizer, capacity, end_id, place))
     spark = docs.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     found = np.array(sorted(slots(patterns(histogram, capacity, nodes))), np.int64).reshape(-1, 5)
     table = spark.sparkContext.broadcast(found)
+    places = (pieces.agg(F.max("place")).first()[0] or 0) + 1 if place else 1
+    own = ["place"] if place else []
     ranked = running_totals(
-        pieces.withColumn("_one", F.lit(1)), ["length"], "_one", ["doc_id", "piece", "ids_crc32"], sum(histogram.values()), "_rank"
-    ).select("doc_id", "piece", "start", "length", "ids_crc32", "_rank")
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+        pieces.withColumn("_one", F.lit(1)), ["length"], "_one", ["doc_id", "piece", "ids_crc32"], sum(histogram.values()), "_rank", place=place and "place", places=places
+    ).select("doc_id", "piece", "start", "length", "ids_crc32", *own, "_rank")
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, " + ("place long, " if place else "") + "sequence_id long, offset long"
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, first, sequence, per, offset = table.value.T
         keys = (lengths << 48) + first
         for batch in batches:
             length, rank = (batch.column(c).to_numpy() for c in ("length", "_rank"))
             at = np.searchsorted(keys, (length << 48) + rank, side="right") - 1
             nth = rank - first[at]
-            columns = [*batch.columns[:5], pa.array(sequence[at] + nth // per[at]), pa.array(offset[at] + nth % per[at] * length)]
+            columns = [*batch.columns[:-1], pa.array(sequence[at] + nth // per[at]), pa.array(offset[at] + nth % per[at] * length)]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
-    return ranked.mapInArrow(place, schema)
+    dealt = ranked.mapInArrow(deal, schema)
+    return _in_order(checkpointed(dealt), places) if place else dealt
+
+
+def _in_order(dealt: DataFrame, places: int) -> DataFrame:
+    """Sequences numbered by the mean place of their pieces."""
+    means = dealt.groupBy("sequence_id").agg(F.avg("place").alias("mean"), F.lit(1).alias("_one"))
+    new = running_totals(means, [], "_one", ["sequence_id"], means.count(), "_new", place="mean", places=places).select("sequence_id", "_new")
+    named = dealt.join(new, "sequence_id").drop("sequence_id").withColumnRenamed("_new", "sequence_id")
+    return named.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "place")
+
+
+def in_file_order(docs: DataFrame) -> DataFrame | None:
+    """Rows of Parquet files written in order, with their place from 0 on; None if docs are not a plain scan of files.
+
+    Files are in the order of the tasks that wrote them, which their names tell. Where each file begins
+    is a row a task of that write, and joined by broadcast.
+    """
+    try:
+        named = docs.select(*docs.columns, F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return None
+    at = named.withColumn("_file", F.coalesce(F.col("_file").try_cast("long"), F.lit(0)))
+    counts = sorted((r["_file"], r["n"]) for r in at.groupBy("_file").agg((F.max("_row") + 1).alias("n")).collect())
+    begins = np.cumsum([0, *(n for _, n in counts)]).tolist()
+    table = docs.sparkSession.createDataFrame([(f, b) for (f, _), b in zip(counts, begins, strict=False)], "_file long, _begins long")
+    return at.join(F.broadcast(table), "_file").withColumn("place", F.col("_begins") + F.col("_row")).select(*docs.columns, "place")

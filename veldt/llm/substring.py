@@ -32,7 +32,7 @@ class _Words:
     """Word hashes of a block of documents, in order of id and place."""
 
     def __init__(self, pdf: pd.DataFrame):
-        self.ids, self.texts = in_order(pdf)
+        self.ids, self.texts, self.no_id = in_order(pdf)
         self.hashes, self.counts = word_prints(self.texts)
         self.doc = np.repeat(np.arange(len(self.ids)), self.counts)
         self.first = np.cumsum(self.counts) - self.counts
@@ -187,7 +187,7 @@ def _kept(window: int, with_text: bool):
             digests.append(hashlib.sha256(left).hexdigest())
             if with_text:
                 texts.append(left.decode("utf-8", "replace"))
-        out = pd.DataFrame({"doc_id": words.ids, "n_words": words.counts, "n_removed": removed, "kept_sha256": digests})
+        out = pd.DataFrame({"doc_id": words.ids, "no_id": words.no_id, "n_words": words.counts, "n_removed": removed, "kept_sha256": digests})
         return out.assign(kept_text=texts) if with_text else out
 
     return run
@@ -215,5 +215,5 @@ def without_repeats(
         _extended(window, buckets), "bucket int, block int, prints binary, seconds binary, ids binary"
     )
     earlier = asked.groupBy("bucket").applyInPandas(_earlier, "block int, keys binary")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
+    schema = "doc_id long, no_id boolean, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     return with_nulls(rows.groupBy("block").cogroup(earlier.groupBy("block")).applyInPandas(_kept(window, with_text), schema))

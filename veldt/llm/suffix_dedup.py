@@ -39,7 +39,7 @@ class _Anchors:
     """
 
     def __init__(self, pdf: pd.DataFrame, depth: int = DEPTH, gram: int = GRAM):
-        self.ids, self.texts = in_order(pdf)
+        self.ids, self.texts, self.no_id = in_order(pdf)
         self.buffer, self.starts, self.ends = joined(self.texts)
         self.depth = depth
         width = depth - gram + 1
@@ -276,7 +276,7 @@ def _kept(with_text: bool):
             digests.append(hashlib.sha256(left).hexdigest())
             if with_text:
                 texts.append(left)
-        frame = pd.DataFrame({"doc_id": anchors.ids, "n_bytes": anchors.ends - anchors.starts, "n_removed": removed, "n_spans": spans, "kept_sha256": digests})
+        frame = pd.DataFrame({"doc_id": anchors.ids, "no_id": anchors.no_id, "n_bytes": anchors.ends - anchors.starts, "n_removed": removed, "n_spans": spans, "kept_sha256": digests})
         return frame.assign(kept=texts) if with_text else frame
 
     return run
@@ -290,8 +290,8 @@ def without_repeated_bytes(
     docs: doc_id, text; other columns are ignored. Returns doc_id, n_bytes, n_removed, n_spans
     (maximal removed runs), kept_sha256 and, with_text, kept: the remaining bytes. Strings are
     judged on the input, overlaps count, and none crosses documents. A null text counts as empty.
-    Rows that share a doc_id never remove each other's bytes; rows without one come after all
-    others. Texts are taken whole; one must fit in a task. An empty table gives no rows.
+    Rows that share a doc_id never remove each other's bytes, nor do rows without one, which come after
+    all ids under 2**63 - 1. Texts are taken whole; one must fit in a task. An empty table gives no rows.
 
     Passages meet by 64-bit XXH3 fingerprints; where two blocks' fingerprints agree, bytes are compared.
     Only passages of one block of documents (a few megabytes) are taken as equal by fingerprint alone.
@@ -304,5 +304,5 @@ def without_repeated_bytes(
         _passages(bins), "bin int, block int, keys binary, prints binary, ids binary, sizes binary, bytes binary"
     )
     marked = passages.groupBy("bin").applyInPandas(_marked(DEPTH), "block int, prints binary, marks binary")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
+    schema = "doc_id long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     return with_nulls(rows.groupBy("block").cogroup(marked.groupBy("block")).applyInPandas(_kept(with_text), schema))
