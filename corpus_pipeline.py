@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veldt.llm.common import shared_folder
 from veldt.llm.mixing import mixed_documents
-from veldt.llm.packing import pack
+from veldt.llm.packing import in_file_order, pack
 from veldt.llm.quality import kept_documents
 from veldt.llm.secrets import redacted
 from veldt.llm.simhash import representatives
@@ -41,8 +41,14 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place of every piece of every document in sequences of 4096 tokens."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Place of every piece of every document in sequences of 4096 tokens, numbered in training order.
+
+    The mixing stage writes its documents in training order; a copy's place in it is `place`. Documents that
+    no file holds have no order, and no such column.
+    """
+    ordered = in_file_order(docs)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return pack(docs, path) if ordered is None else pack(ordered, path, place="place")
 
 
 STAGES = [
