@@ -126,9 +126,11 @@ _CATEGORY = "CASE " + " ".join(f"WHEN regexp_matches(path, '{p}') THEN '{v}'" fo
 _CLASS = "CASE " + " ".join(f"WHEN regexp_matches(path, '{p}') THEN '{v}'" for p, v in N.CLASSES[:-1]) + " ELSE 'commercial-data-export' END"
 
 
-@query(f"WITH f(path) AS (VALUES {C.as_values([(p,) for p in _FILES])}) SELECT path, {_CATEGORY} AS category, {_CLASS} AS class, lower(regexp_extract(path, '[.]([A-Za-z]+)$', 1)) AS format FROM f")
+@query(f"WITH f AS (SELECT 'supplier-' || s_suppkey || '/' || {_list(_FILES)}[s_suppkey % {len(_FILES)} + 1] AS path FROM supplier) SELECT path, {_CATEGORY} AS category, {_CLASS} AS class, lower(regexp_extract(path, '[.]([A-Za-z]+)$', 1)) AS format FROM f")
 def file_catalogue(spark, folder):
-    return N.catalogued(spark.createDataFrame([(p,) for p in _FILES], "path string"))
+    key = F.col("s_suppkey")
+    name = F.get(F.array(*map(F.lit, _FILES)), (key % len(_FILES)).cast("int"))
+    return N.catalogued(A.table(spark, folder, "supplier").select(F.concat(F.lit("supplier-"), key, F.lit("/"), name).alias("path")))
 
 
 _PATHS = (
@@ -137,9 +139,12 @@ _PATHS = (
 )
 
 
-@query(f"WITH p(path, portable) AS (VALUES {C.as_values(_PATHS)}) SELECT path, portable, path LIKE '/Users/%' OR path LIKE '% /home/%' OR path LIKE '/home/%' OR path LIKE 'C:%' AS local FROM p")
+@query(f"""WITH p(i, path, portable) AS (VALUES {C.as_values([(i, *x) for i, x in enumerate(_PATHS)])}), q AS (SELECT path || '-' || s_suppkey AS path, portable || '-' || s_suppkey AS portable FROM supplier JOIN p ON s_suppkey % {len(_PATHS)} = i)
+SELECT path, portable, path LIKE '/Users/%' OR path LIKE '% /home/%' OR path LIKE '/home/%' OR path LIKE 'C:%' AS local FROM q""")
 def portable_paths(spark, folder):
-    p = spark.createDataFrame([(a,) for a, _ in _PATHS], "path string")
+    key = F.col("s_suppkey")
+    path = F.get(F.array(*(F.lit(a) for a, _ in _PATHS)), (key % len(_PATHS)).cast("int"))
+    p = A.table(spark, folder, "supplier").select(F.concat(path, F.lit("-"), key).alias("path"))
     return p.select("path", text.portable_path(F.col("path")).alias("portable"), text.local_path(F.col("path")).alias("local"))
 
 
@@ -281,12 +286,11 @@ def category_means(spark, folder):
 
 # ---- text, numbers and identifiers of the function library
 
-_HASHES = (("", "811c9dc5"), ("a", "e40c292c"), ("foobar", "bf9cf968"))
-
-
-@query(f"WITH h(s, fnv) AS (VALUES {C.as_values(_HASHES)}) SELECT s, fnv FROM h")
+@query("""WITH n AS (SELECT c_custkey, c_name || ' é企' || c_mktsegment AS s FROM customer)
+SELECT c_custkey, s, printf('%08x', list_reduce(list_transform(string_split(s, ''), lambda c: CAST(unicode(c) AS BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296, CAST(2166136261 AS BIGINT))) AS fnv FROM n""")
 def fnv1a_hashes(spark, folder):
-    return spark.createDataFrame([(s,) for s, _ in _HASHES], "s string").select("s", text.fnv1a(F.col("s")).alias("fnv"))
+    named = A.table(spark, folder, "customer").select("c_custkey", F.concat("c_name", F.lit(" é企"), "c_mktsegment").alias("s"))
+    return named.select("c_custkey", "s", text.fnv1a(F.col("s")).alias("fnv"))
 
 
 @query(r"""SELECT c_custkey, trim(c_name) AS name, nullif(trim(c_mktsegment), '') AS segment, 'segment:' || c_mktsegment AS spaced, c_mktsegment LIKE 'NA%' AS absent, regexp_replace(c_name, '\s+', ' ', 'g') AS plain,
