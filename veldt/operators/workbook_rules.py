@@ -54,8 +54,6 @@ ASSESSED, CUTOFF = r"评价时点[：:]\s*(\d{4}-\d{2}-\d{2})", r"数据截止[
 #: rows that may hold the header, and rows of the overview that may hold the dates
 HEADER_ROWS, DATE_ROWS = 20, 10
 
-ISSUE = "path string, sheet string, row int, column string, code string, severity string, detail string"
-
 
 def _normal(c: Column) -> Column:
     """A text with its white space as single blanks."""
