@@ -159,3 +159,8 @@ def fnv1a(c: Column) -> Column:
     step = lambda h, u: ((h.bitwiseXOR(F.conv(u, 16, 10).cast("long"))) * 0x01000193).bitwiseAND(F.lit(0xFFFFFFFF))
     folded = F.aggregate(F.filter(units, lambda u: u != ""), F.lit(0x811C9DC5).cast("long"), step)
     return F.lower(F.lpad(F.hex(folded), 8, "0"))
+
+
+def number_text(x: Column, digits: int = 2) -> Column:
+    """A number with commas between thousands and at most some digits, rounded half away from zero, without trailing zeros."""
+    return F.regexp_replace(F.regexp_replace(F.format_number(F.round(x, digits), digits), r"(\.\d*?)0+$", "$1"), r"\.$", "")

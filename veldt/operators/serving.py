@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldt.functions.dates import months_before
 from veldt.functions.text import csv_field, searched
 
 
@@ -51,8 +52,8 @@ def event_register(events: DataFrame, severity: str | None = None, status: str |
 
 
 def recent(events: DataFrame, snapshot: str, months: int) -> DataFrame:
-    """Events of the last months before a snapshot day."""
-    since = F.date_format(F.add_months(F.lit(snapshot).cast("date"), -months), "yyyy-MM-dd")
+    """Events of the last months before a snapshot day; a day that the first month lacks runs over into the next."""
+    since = months_before(F.lit(snapshot), months).cast("string")
     return events.where((F.col("event_date") >= since) & (F.col("event_date") <= snapshot))
 
 

@@ -119,7 +119,8 @@ def indicator_status(present: Column, eligible: Column, valid: Column, evidence_
     return F.when(~valid, "invalid-input").when(~present, "missing").when(~eligible, "ineligible-evidence").otherwise("calculated")
 
 
-def _holds(value: Column, op: Column, bound: Column) -> Column:
+def holds(value: Column, op: Column, bound: Column) -> Column:
+    """Whether a value meets a bound by an operator's sign."""
     return (
         F.when(op == ">", value > bound).when(op == ">=", value >= bound).when(op == "<", value < bound).when(op == "<=", value <= bound).otherwise(value == bound)
     )
@@ -132,7 +133,7 @@ def banded(values: DataFrame, rules: DataFrame) -> DataFrame:
     """
     joined = values.join(F.broadcast(rules), "rule_id")
     v = F.col("value")
-    score = F.when(_holds(v, F.col("low_op"), F.col("low")), LOW_RISK).when(_holds(v, F.col("medium_op"), F.col("medium")), MEDIUM_RISK).otherwise(HIGH_RISK)
+    score = F.when(holds(v, F.col("low_op"), F.col("low")), LOW_RISK).when(holds(v, F.col("medium_op"), F.col("medium")), MEDIUM_RISK).otherwise(HIGH_RISK)
     return joined.select("entity", "rule_id", "value", F.when(v.isNotNull(), score).alias("score"))
 
 
