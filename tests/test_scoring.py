@@ -99,3 +99,25 @@ def test_exact_and_fast_rounding(spark):
     df = spark.createDataFrame([(1.005,), (1.335,), (0.125,), (2.5,), (-2.5,), (None,)], "x double")
     assert [r.y for r in df.select(numeric.exact_fixed(F.col("x"), F.lit(2)).alias("y")).collect()] == [1.0, 1.33, 0.13, 2.5, -2.5, None]
     assert [r.y for r in df.select(F.floor(F.col("x") + 0.5).alias("y")).collect()] == [1, 1, 0, 3, -2, None]
+
+
+def test_ranged_percentiles_are_those_of_windows(spark):
+    import random
+
+    draw = random.Random(5)
+    some = [0.0, -0.0, 1.0, -1.0, 1e-300, -1e300, 64.0, 63.999999999999993, 64.00000000000001, 5e-324, 1.7e308]
+    values = [(draw.choice("ab"), draw.choice(some) if draw.random() < 0.5 else draw.choice([1, -1]) * 2 ** draw.uniform(-12, 12)) for _ in range(3000)]
+    rows = [(i, k, x) for i, (k, x) in enumerate(values)] + [(-1, "alone", 3.0), (-2, "a", None), (-3, None, 1.0)]
+    df = spark.createDataFrame(rows, "id long, k string, x double")
+    got = {r.id: (r.sample_size, r.risk_percentile) for r in S.ranged_percentiles(df, "x", ["k"]).collect()}
+    p, n = S.tie_percentile(F.col("x") + 0.0, ["k"])
+    plain = df.where("k is not null and x is not null")
+    want = {r.id: (r.n, r.p) for r in plain.select("id", n.alias("n"), p.alias("p")).collect()}
+    assert got == want | {-2: (None, None), -3: (None, None)}
+    assert got[-1] == (1, None) and len(got) == len(rows)
+
+
+def test_ranges_never_fall(spark):
+    df = spark.range(-40000, 40000).select((F.col("id") / 37.0).alias("x"), S.value_range(F.col("id") / 37.0).alias("r")).orderBy("x")
+    found = [r.r for r in df.collect()]
+    assert found == sorted(found) and len(set(found)) > 1000

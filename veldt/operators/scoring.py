@@ -1,8 +1,8 @@
 """Peer scoring: latest values, candidate fallback, tie-averaged percentiles, objective weights.
 
 Everything is in long form: one row per company and indicator. No table is joined with itself by
-peer group; percentiles come from windows over (group, indicator, comparable group), and weights
-from sums per group and pair of indicators, of which there are at most 153 a group.
+peer group; percentiles come from counts of distinct values, added up over ranges of values within a
+group, and weights from sums per group and pair of indicators, of which there are at most 153 a group.
 """
 
 from __future__ import annotations
@@ -42,13 +42,50 @@ def resolved(newest: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def tie_percentile(value: Column, group: list[str]) -> tuple[Column, Column]:
-    """Percent rank with ties at their middle, 4 decimals, null for a single value; and the sample size."""
+    """Percent rank with ties at their middle, 4 decimals, null for a single value; and the sample size.
+
+    A window holds a whole group; groups that may be large want `ranged_percentiles`.
+    """
     n = F.count("*").over(Window.partitionBy(*group))
     below = F.rank().over(Window.partitionBy(*group).orderBy(value)) - 1
     ties = F.count("*").over(Window.partitionBy(*group, value))
     return half_up(F.when(n > 1, (below + (ties - 1) / 2.0) / (n - 1)), 4), n
 
 
+#: Ranges of values to each doubling, and a number above all that a range of doubles can have.
+STEPS, ABOVE = 64, 70000
+
+
+def value_range(v: Column) -> Column:
+    """A whole number that never falls as v grows: 64 steps to each doubling of its size, on either side of zero.
+
+    It depends on v alone (log2 is computed alike on all machines), so that every reading of a table finds the same ranges.
+    """
+    step = F.floor(F.log2(F.abs(v)) * STEPS) + ABOVE
+    return F.when(v > 0, step).when(v < 0, -step).otherwise(F.lit(0)).cast("int")
+
+
+def ranged_percentiles(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """df with sample_size and risk_percentile as of tie_percentile, however large a group is.
+
+    Equal values are counted before anything is shuffled, so a value that a third of all rows share is one row. Counts of
+    ranges are added up within a group (a few thousand rows at most for values of common sizes), counts of distinct
+    values only within their range, and the sums are joined back by value. Rows without a key or a value have neither column.
+    """
+    v = (F.col(value) + 0.0).alias("v")  # no negative zero
+    distinct = df.groupBy(*keys, v).agg(F.count("*").alias("ties")).where(F.col("v").isNotNull()).withColumn("value_range", value_range(F.col("v")))
+    group, earlier = Window.partitionBy(*keys), (Window.unboundedPreceding, -1)
+    counts = distinct.groupBy(*keys, "value_range").agg(F.sum("ties").alias("rows"))
+    before = F.coalesce(F.sum("rows").over(group.orderBy("value_range").rowsBetween(*earlier)), F.lit(0))
+    starts = counts.select(*keys, "value_range", before.alias("before"), F.sum("rows").over(group).alias("sample_size"))
+    inside = F.coalesce(F.sum("ties").over(Window.partitionBy(*keys, "value_range").orderBy("v").rowsBetween(*earlier)), F.lit(0))
+    placed = distinct.withColumn("inside", inside).join(starts, [*keys, "value_range"])
+    n, below = F.col("sample_size"), F.col("before") + F.col("inside")
+    percentile = half_up(F.when(n > 1, (below + (F.col("ties") - 1) / 2.0) / (n - 1)), 4)
+    found = placed.select(*keys, "v", "sample_size", percentile.alias("risk_percentile"))
+    return df.withColumn("v", v).join(found, [*keys, "v"], "left").drop("v")
+
+
 def anchor_score(percentile: Column, anchor: float = ANCHOR, alpha: float = ALPHA, beta: float = BETA) -> Column:
     a, b = alpha / (alpha + beta), beta / (alpha + beta)
     return half_up(100.0 * clamp(a * anchor + b * percentile, 0, 1), 2)
@@ -59,8 +96,7 @@ def peer_scores(values: DataFrame, companies: DataFrame) -> DataFrame:
     grouped = values.join(companies.select("company_id", "benchmark_group"), "company_id")
     risk = F.when(F.col("direction") == "down", -F.col("numeric_value")).otherwise(F.col("numeric_value"))
     keys = ["benchmark_group", "indicator_id", "comparable_group"]
-    percentile, n = tie_percentile(F.col("risk_value"), keys)
-    out = grouped.withColumn("risk_value", risk).withColumn("sample_size", n).withColumn("risk_percentile", percentile)
+    out = ranged_percentiles(grouped.withColumn("risk_value", risk), "risk_value", keys)
     out = out.withColumn("risk_score", anchor_score(F.col("risk_percentile")))
     status = F.when(F.col("risk_score").isNull(), "missing").otherwise("scored")
     return out.withColumn("status", status).withColumn("centered", F.col("risk_score") - 50.0).select(
