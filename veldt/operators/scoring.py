@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from veldt.functions.numeric import clamp, finite, half_up
 from veldt.plans.catalogue import COMPOSITE, COMPOSITE_PARTS, DIMENSIONS
-from veldt.registry import kept
+from veldt.sources.snapshots import written
 
 ANCHOR, ALPHA, BETA = 0.5, 0.5, 0.5
 
@@ -219,7 +219,7 @@ def method_results(scores: DataFrame, method: str) -> tuple[DataFrame, DataFrame
         "benchmark_group", "company_id", F.col("indicator_id").alias("column"), (F.col("risk_score") / 100.0).alias("x")
     )
     first = objective_weights(matrix, method)
-    dims = kept(f"dimension_scores:{method}", dimension_scores(scores, first))  # read by the second stage and by the totals
+    dims = written(dimension_scores(scores, first), f"dimension_scores-{method}")  # read by the second stage and by the totals
     second_matrix = dims.select("benchmark_group", "company_id", F.col("dimension_id").alias("column"), (F.col("dimension_score") / 100.0).alias("x"))
     second = objective_weights(second_matrix, method)
     w = second.withColumnRenamed("column", "dimension_id")

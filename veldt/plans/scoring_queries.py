@@ -9,15 +9,16 @@ from veldt.functions import numeric, text
 from veldt.operators import scoring as S
 from veldt.plans import oracle as O
 from veldt.plans.catalogue import candidates
-from veldt.registry import kept, query
+from veldt.registry import query
 from veldt.sources import adapter as A
+from veldt.sources.snapshots import written
 
 D = "CAST({} AS DOUBLE)".format
 
 
 def industry_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Indicator scores, kept: later steps read them several times, and they are one row per company and indicator."""
-    return kept("industry_scores", S.score_industry(A.observations(spark, folder), A.companies(spark, folder), candidates(spark)))
+    """Indicator scores, written: later steps read them several times, and they are one row per company and indicator."""
+    return written(S.score_industry(A.observations(spark, folder), A.companies(spark, folder), candidates(spark)), "industry_scores")
 
 
 @query(f"WITH {O.OBSERVATIONS} SELECT observation_id, company_id, indicator_id, metric_name, as_of_date, {O.half_up('numeric_value', 6)} AS numeric_value FROM observations")

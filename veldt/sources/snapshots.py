@@ -31,6 +31,17 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="veldt-")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written as a table of its own in the shared folder and read from there.
+
+    It outlives lost executors, and what reads it starts from a scan: plans that read a long chain several times, each
+    step with a self-join, otherwise grow with every step. The table stays until the folder is cleared.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class VersionedTable:
     """A table in a folder. `migrations` take the rows of a schema version to the next one; rows are read as of `schema_version`."""
 
