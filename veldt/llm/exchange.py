@@ -1,9 +1,10 @@
 """Blocks of documents that ask each other questions by key, without moving texts twice.
 
-Documents are dealt to blocks of bounded size by a hash of their id. A block sends one compressed
-blob of sorted keys to each bucket of the key space; a bucket answers each block with the keys that
-matter to it; the block, recomputed from the same documents, acts on the answers. Within a block
-every key is sent once, so a key that a third of all documents holds costs one entry a block.
+Documents are dealt to blocks by a hash of their id; blocks are a few megabytes and grow with the root
+of the table. A block sends one compressed blob of sorted keys to each bucket of the key space; a bucket
+answers each block with the keys that matter to it; the block, recomputed from the same documents, acts
+on the answers. Within a block every key is sent once, so a key that a third of all documents holds costs
+one entry a block.
 """
 
 from __future__ import annotations
@@ -20,19 +21,35 @@ from veldt.llm.common import unpack_sorted
 KEY_BITS = 46
 #: stands for a null id in comparisons: after all others; that a row has no id is carried by `no_id`
 NO_ID = 2**63 - 1
+#: bytes of text up to which blocks and buckets have the size asked for
+GROWS_FROM = 1 << 30
+
+
+def growth(total: int) -> float:
+    """Factor on the sizes of blocks and buckets for a table of `total` bytes.
+
+    Each block writes to each bucket, so that of fixed sizes there are blobs as the square of the table, and ever smaller
+    ones. Both sizes grow with the root of the table: blobs keep their size, and are as many as the table has bytes.
+    """
+    return max(1.0, math.sqrt(total / GROWS_FROM))
+
+
+def pieces(total: int, size: int) -> int:
+    """Number of blocks, buckets or bins of the size asked for, grown as above."""
+    return max(24, math.ceil(total / (size * growth(total))))
 
 
 def blocked(docs: DataFrame, block_bytes: int, bucket_bytes: int) -> tuple[DataFrame, int, int]:
-    """(block, doc_id, no_id, text as bytes), the number of blocks, the number of buckets."""
+    """(block, doc_id, no_id, text as bytes), the bytes of all texts, the number of buckets."""
     plain = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")
     )
     total = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(24, math.ceil(total / block_bytes))
+    blocks = pieces(total, block_bytes)
     # rows without an id are spread by their texts
     block = F.pmod(F.xxhash64("doc_id", F.when(F.col("no_id"), F.col("text"))), F.lit(blocks)).cast("int")
     rows = plain.withColumn("block", block).repartition(blocks, "block")
-    return rows.select("block", "doc_id", "no_id", "text"), blocks, max(24, math.ceil(total / bucket_bytes))
+    return rows.select("block", "doc_id", "no_id", "text"), total, pieces(total, bucket_bytes)
 
 
 def with_nulls(df: DataFrame) -> DataFrame:

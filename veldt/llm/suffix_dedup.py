@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from veldt.llm.bytesio import CHUNK, covered, gram_codes, joined, mixed, owner
 from veldt.llm.common import pack_plain, pack_sorted, unpack_plain, unpack_sorted
-from veldt.llm.exchange import KEY_BITS, answers, blocked, bucket_edges, in_order, member, with_nulls
+from veldt.llm.exchange import KEY_BITS, answers, blocked, bucket_edges, in_order, member, pieces, with_nulls
 from veldt.llm.runindex import RunIndex
 
 DEPTH = 50
@@ -294,10 +294,10 @@ def without_repeated_bytes(
     all ids under 2**63 - 1. Texts are taken whole; one must fit in a task. An empty table gives no rows.
 
     Passages meet by 64-bit XXH3 fingerprints; where two blocks' fingerprints agree, bytes are compared.
-    Only passages of one block of documents (a few megabytes) are taken as equal by fingerprint alone.
+    Only passages of one block of documents (4 MB up to 1 GB of text, then growing with its root) are taken as equal by fingerprint alone.
     """
-    rows, blocks, buckets = blocked(docs, block_bytes, bucket_bytes)
-    bins = max(24, blocks * block_bytes // bin_bytes) if blocks > 24 else 48
+    rows, total, buckets = blocked(docs, block_bytes, bucket_bytes)
+    bins = max(48, pieces(total, bin_bytes))
     sent = rows.groupBy("block").applyInPandas(_anchored(buckets), "bucket int, block int, keys binary, flags binary")
     shared = sent.groupBy("bucket").applyInPandas(_shared, "block int, keys binary")
     passages = rows.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(
