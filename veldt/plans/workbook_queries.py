@@ -64,6 +64,7 @@ CASES: list[tuple] = [
     (23, _I, 4, "评分依据", None, None, [(_I, 4, "评分依据", "REQUIRED_VALUE_MISSING", None)]),
     (24, B.RELATIONS, 4, "关系强度", "bool", "1", [(B.RELATIONS, 4, "关系强度", "NUMBER_REQUIRED", None)]),
 ]
+BOOKS = 500  # workbooks a task makes
 KINDS = 27  # of so many suppliers in a row, those beyond the cases have nothing wrong
 
 
@@ -77,7 +78,8 @@ def workbook_cells(spark, folder):
     s = A.table(spark, folder, "supplier").select(F.concat(F.lit("book-"), "s_suppkey").alias("path"), (F.col("s_suppkey") % KINDS).cast("int").alias("case"))
     # an appended row for a case that needs one more record, then the template: both have a bounded number of rows
     more = spark.createDataFrame([(c, *x) for c in (7, 8) for x in template() if x[0] == _I and x[1] == 4], "case int, sheet string, row int, column int, kind string, value string").withColumn("row", F.lit(22))
-    whole = s.join(F.broadcast(cells), F.lit(True)).where("NOT (sheet = '指标评分' AND row = 22 AND case IN (7, 8))")
+    # some 450 cells come of a row: of the whole table they would be one task
+    whole = A.spread(s, A.supplier_count(spark, folder), BOOKS, "path").join(F.broadcast(cells), F.lit(True)).where("NOT (sheet = '指标评分' AND row = 22 AND case IN (7, 8))")
     added = s.join(F.broadcast(more), "case")
     every = whole.unionByName(added.select(whole.columns)).join(F.broadcast(changed), ["case", "sheet", "row", "column"], "left")
     use = F.col("changed").isNotNull()

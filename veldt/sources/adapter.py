@@ -6,6 +6,8 @@ user number. All aggregations are by supplier and year, with partial aggregation
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, rows: int, each: int, key: str) -> DataFrame:
+    """df, which has so many rows, in partitions of about `each`: a small file is one partition, and all that is derived from its rows would be one task."""
+    parts = math.ceil(rows / each)
+    return df.repartition(parts, key) if parts > 1 else df  # a given number, which adaptive execution does not make less
+
+
 def company_id(key: Column) -> Column:
     return F.concat(F.lit("star-"), F.lpad(key.cast("string"), 6, "0"))
 
