@@ -47,10 +47,11 @@ fdims AS (SELECT company_id, dimension_id, {up_eps("sum(CASE WHEN risk_score IS
 LEVEL = "CASE WHEN {0} < 25 THEN 'low' WHEN {0} < 50 THEN 'medium' WHEN {0} < 75 THEN 'high' WHEN {0} IS NOT NULL THEN 'critical' END".format
 
 
-def assessments(spark, folder):
+def assessments(spark, folder, each: int = 5000):
+    """18 rows a company, made by a task for about `each` companies."""
     names = [i for i, _, _ in sorted(C.FIXED_WEIGHTS)]
     fixed = C.fixed_weights(spark).withColumn("k", F.array_position(F.array(*map(F.lit, names)), F.col("indicator_id")))
-    c = A.companies(spark, folder).join(F.broadcast(fixed), F.lit(True))
+    c = A.spread(A.companies(spark, folder), A.supplier_count(spark, folder), each, "company_id").join(F.broadcast(fixed), F.lit(True))
     key, k = F.col("s_suppkey"), F.col("k")
     return c.select(
         "company_id", "indicator_id", "dimension_id", "weight", F.when((key + k) % 7 != 0, ((key * 37 + k * 11) % 101).cast("double")).alias("risk_score"),
