@@ -11,8 +11,9 @@ from veldt.operators import assessment_graph as G
 from veldt.operators import ordered as R
 from veldt.plans import catalogue as C
 from veldt.plans.risk_queries import _FLAGGED, FIXED, LEVEL, assessments, fixed_weight_dimensions, fixed_weight_score, flagged
-from veldt.registry import kept, query
+from veldt.registry import query
 from veldt.sources import adapter as A
+from veldt.sources.snapshots import written
 
 _NAMES = [i for i, _, _ in sorted(C.FIXED_WEIGHTS)]
 _DIMS = [d for d, _ in C.FIXED_DIMENSIONS]
@@ -89,13 +90,18 @@ def assessed_parts(spark, folder) -> dict:
     return {"head": head, "dims": dims, "indicators": indicators, "references": G.in_force(every, head), "catalogue": catalogue, "red": red, "paths": paths}
 
 
+def graph_nodes(p: dict):
+    return G.nodes(p["head"], p["dims"], p["indicators"], p["red"], p["references"], p["catalogue"])
+
+
+def graph_edges(p: dict):
+    return G.edges(p["dims"], p["indicators"], p["references"], p["red"], p["paths"])
+
+
 def graph_of(spark, folder):
+    """Nodes and edges, written: views read both several times, and as cached plans every stage of a view had the whole chain's tasks and metrics."""
     p = assessed_parts(spark, folder)
-    # views read both several times
-    return (
-        kept("graph_nodes", G.nodes(p["head"], p["dims"], p["indicators"], p["red"], p["references"], p["catalogue"])),
-        kept("graph_edges", G.edges(p["dims"], p["indicators"], p["references"], p["red"], p["paths"])),
-    )
+    return written(graph_nodes(p), "graph_nodes"), written(graph_edges(p), "graph_edges")
 
 
 def _flat(nodes):
@@ -104,12 +110,12 @@ def _flat(nodes):
 
 @query(f"WITH {_PARTS} SELECT company_id, id, kind, label, caption, score, tone, dimension_ids FROM g_nodes")
 def assessment_graph_nodes(spark, folder):
-    return _flat(graph_of(spark, folder)[0])
+    return _flat(graph_nodes(assessed_parts(spark, folder)))
 
 
 @query(f"WITH {_PARTS} SELECT * FROM g_edges")
 def assessment_graph_edges(spark, folder):
-    return graph_of(spark, folder)[1]
+    return graph_edges(assessed_parts(spark, folder))
 
 
 @query(f"""WITH {_PARTS}, n AS (SELECT company_id, count(*) AS nodes FROM g_nodes GROUP BY 1), e AS (SELECT company_id, count(*) AS edges, count(*) FILTER (kind = 'direct') AS direct_evidence, count(*) FILTER (kind = 'inferred') AS inferred_evidence,
