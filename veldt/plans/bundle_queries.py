@@ -10,6 +10,7 @@ from veldt.operators import bundle as K
 from veldt.plans import catalogue as C
 from veldt.plans import oracle as O
 from veldt.plans.risk_queries import FIXED, LEVEL, coverage, fixed_weight_score
+from veldt.plans.scoring_queries import observed
 from veldt.registry import query
 from veldt.sources import adapter as A
 from veldt.sources.snapshots import VersionedTable, shared_folder
@@ -19,8 +20,7 @@ _SOURCES = [(f"src-{i}", f"Source of {i}") for i, _, _, _ in C.CATALOGUE]
 
 def bundle_of(spark, folder):
     """One row a supplier: assessment, and observations, coverage, events, supplements and the sources that these name."""
-    observed = A.observations(spark, folder)
-    cited = observed.select(
+    cited = observed(spark, folder).select(
         "company_id", "observation_id", "indicator_id", "metric_name", "as_of_date", F.concat(F.lit("src-"), "indicator_id").alias("source_id"),
         F.when(F.col("indicator_id") == "R05", F.array(F.lit("src-R06"), F.lit("src-R07"))).alias("source_ids"),
     )

@@ -11,7 +11,7 @@ from veldt.operators import serving
 from veldt.plans import catalogue as C
 from veldt.plans import oracle as O
 from veldt.plans.event_queries import _RAW, raw_events
-from veldt.plans.scoring_queries import industry_scores
+from veldt.plans.scoring_queries import industry_scores, observed
 from veldt.registry import query
 from veldt.sources import adapter as A
 
@@ -32,10 +32,10 @@ def sources(spark):
     return spark.createDataFrame(_SOURCES, "source_id string, source_type string, institution string, title string, redistribution string")
 
 
-def cited(spark, folder):
+def cited(spark, folder, observations=None):
     """Observations with a unit, a status, the source of each and further sources of some."""
     i, month = F.col("indicator_id"), F.substring("as_of_date", 6, 2).cast("int")
-    return A.observations(spark, folder).select(
+    return (A.observations(spark, folder) if observations is None else observations).select(
         "*", F.when(F.col("metric_name").endswith("_pct"), "%").alias("unit"), F.lit(None).cast("string").alias("text_value"), F.lit("known").alias("status"), (month / 16.0).alias("confidence"),
         F.concat(F.lit("src-"), i).alias("source_id"), F.when(i == "R05", F.array(F.lit("src-R06"), F.lit("src-R07"), F.lit("src-R05"))).alias("source_ids"),
     )
@@ -86,11 +86,12 @@ SELECT company_id, short_name AS name, total_score AS risk_index, coalesce(top_r
   peer AS benchmark_company_id, coalesce(high.title, '{V.NO_HIGH_EVENT}') AS current_high_event
 FROM companies LEFT JOIN total USING (company_id) LEFT JOIN top USING (company_id) LEFT JOIN c USING (company_id) LEFT JOIN s USING (company_id) LEFT JOIN p USING (company_id) LEFT JOIN high USING (company_id)""")
 def company_summaries(spark, folder):
-    scores, c = industry_scores(spark, folder), A.companies(spark, folder)
+    o = observed(spark, folder)
+    scores, c = industry_scores(spark, folder, o), A.companies(spark, folder)
     _, dims, _, totals = S.method_results(scores, "critic")
     narrative = S.narrative_index(scores).select("company_id", F.lit("narrative").alias("dimension_id"), F.col("narrative_index").alias("dimension_score"))
     every = dims.select("company_id", "dimension_id", "dimension_score").unionByName(narrative)
-    evidence = V.used_sources([(cited(spark, folder), "source_id", "source_ids"), (supplements(spark, folder), "source_id", None)], sources(spark))
+    evidence = V.used_sources([(cited(spark, folder, o), "source_id", "source_ids"), (supplements(spark, folder), "source_id", None)], sources(spark))
     out = V.company_summaries(c, totals, every, V.event_overview(graded(spark, folder)), evidence, serving.next_peer(c))
     return out.withColumn("top_risks", F.array_join("top_risks", "|"))
 
@@ -123,7 +124,7 @@ SELECT company_id, source_id, CASE WHEN regexp_matches(source_type || ' ' || ins
   coalesce(n, 0) AS observations, coalesce(f.links, '') AS links
 FROM named JOIN src USING (source_id) LEFT JOIN i USING (company_id, source_id) LEFT JOIN l USING (company_id, source_id) LEFT JOIN t USING (company_id, source_id) LEFT JOIN f USING (company_id, source_id)""")
 def company_evidence(spark, folder):
-    out = V.source_evidence(cited(spark, folder), supplements(spark, folder), sources(spark))
+    out = V.source_evidence(cited(spark, folder, observed(spark, folder)), supplements(spark, folder), sources(spark))
     return out.select(*(F.array_join(c, "|" if c == "links" else ",").alias(c) if c in ("indicator_ids", "dimensions", "links") else c for c in out.columns))
 
 

@@ -16,9 +16,14 @@ from veldt.sources.snapshots import written
 D = "CAST({} AS DOUBLE)".format
 
 
-def industry_scores(spark: SparkSession, folder: str) -> DataFrame:
+def observed(spark: SparkSession, folder: str) -> DataFrame:
+    """Observations, written: a hundredth of the bytes that are shuffled for them, for queries that read them more than once."""
+    return written(A.observations(spark, folder), "observations")
+
+
+def industry_scores(spark: SparkSession, folder: str, observations: DataFrame | None = None) -> DataFrame:
     """Indicator scores, written: later steps read them several times, and they are one row per company and indicator."""
-    return written(S.score_industry(A.observations(spark, folder), A.companies(spark, folder), candidates(spark)), "industry_scores")
+    return written(S.score_industry(A.observations(spark, folder) if observations is None else observations, A.companies(spark, folder), candidates(spark)), "industry_scores")
 
 
 @query(f"WITH {O.OBSERVATIONS} SELECT observation_id, company_id, indicator_id, metric_name, as_of_date, {O.half_up('numeric_value', 6)} AS numeric_value FROM observations")
@@ -126,9 +131,10 @@ def historical_anchor(spark, folder):
 a AS (SELECT company_id, metric_name, CASE WHEN n >= 3 AND p95 - p05 <> 0 THEN {O.half_up('least(greatest((median - p05) / (p95 - p05), 0), 1)', 4)} END AS anchor FROM q)
 SELECT company_id, indicator_id, anchor, CASE WHEN anchor + risk_percentile IS NOT NULL THEN {O.half_up(f"{D(100)} * least(greatest({D('0.5')} * anchor + {D('0.5')} * risk_percentile, 0), 1)", 2)} END AS full_score FROM scores JOIN a USING (company_id, metric_name)""")
 def full_anchor_score(spark, folder):
-    q = S.quantiles(A.observations(spark, folder), ["company_id", "metric_name"])
+    o = observed(spark, folder)
+    q = S.quantiles(o, ["company_id", "metric_name"])
     anchors = q.select("company_id", "metric_name", S.historical_anchor(q).alias("anchor"))
-    joined = industry_scores(spark, folder).join(anchors, ["company_id", "metric_name"])
+    joined = industry_scores(spark, folder, o).join(anchors, ["company_id", "metric_name"])
     return joined.select("company_id", "indicator_id", "anchor", S.full_score(F.col("anchor"), F.col("risk_percentile")).alias("full_score"))
 
 

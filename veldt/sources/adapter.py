@@ -51,17 +51,20 @@ def _long(df: DataFrame, metrics: dict[str, tuple[str, Column]]) -> DataFrame:
 def observations(spark: SparkSession, folder: str) -> DataFrame:
     """observation_id, company_id, indicator_id, metric_name, as_of_date (text), numeric_value."""
     line = table(spark, folder, "lineitem").select(
-        F.col("l_suppkey").alias("s_suppkey"), "l_orderkey", "l_partkey", F.year("l_shipdate").alias("y"), F.month("l_shipdate").alias("m"),
-        F.col("l_shipdate").cast("date").alias("day"), F.col("l_quantity").cast("long").alias("q"), "l_returnflag", "l_linestatus", "l_linenumber",
+        F.col("l_suppkey").alias("s_suppkey"), "l_orderkey", "l_partkey", F.col("l_shipdate").cast("date").alias("day"), F.col("l_quantity").cast("long").alias("q"),
+        (F.col("l_returnflag") == "R").alias("returned"), (F.col("l_linestatus") == "O").alias("open"), (F.col("l_linenumber") == 1).alias("first"),
     )
+    dated = lambda df: df.withColumn("y", F.year("day"))  # noqa: E731  what follows from a day is not shuffled with it
     part = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_brand")
     owner = ["s_suppkey", "y"]
-    # distinct parts and orders are counted by a level of their own, not by expanding every line
-    parts = line.groupBy(*owner, "l_partkey").agg(
-        F.max("day").alias("last"), F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.count_if(F.col("l_linestatus") == "O").alias("open"),
-        F.sum("q").alias("quantity"), F.bit_or(F.expr("shiftleft(1, m)")).alias("months"), F.count_if(F.col("m") == 12).alias("december"), F.count_if(F.col("l_linenumber") == 1).alias("first_lines"),
+    # distinct parts and orders are counted by a level of their own, not by expanding every line; lines are dealt out by
+    # part (and order) once, which serves this level and the join after it: few lines of a supplier's year share a part
+    by_part = dated(line.drop("l_orderkey").repartition("l_partkey")).withColumn("m", F.month("day"))
+    parts = by_part.groupBy(*owner, "l_partkey").agg(
+        F.max("day").alias("last"), F.count("*").alias("n"), F.count_if("returned").alias("returned"), F.count_if("open").alias("open"),
+        F.sum("q").alias("quantity"), F.bit_or(F.expr("shiftleft(1, m)")).alias("months"), F.count_if(F.col("m") == 12).alias("december"), F.count_if("first").alias("first_lines"),
     )
-    orders = line.groupBy(*owner, "l_orderkey").agg(F.lit(1).alias("_")).groupBy(*owner).agg(F.count("*").alias("orders"))
+    orders = dated(line.select("s_suppkey", "l_orderkey", "day").repartition("l_orderkey")).groupBy(*owner, "l_orderkey").agg(F.lit(1).alias("_")).groupBy(*owner).agg(F.count("*").alias("orders"))
     by = parts.join(part, "l_partkey").groupBy(*owner).agg(
         F.max("last").alias("last"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum(F.when(F.col("p_type").startswith("PROMO"), F.col("n")).otherwise(0)).alias("promo"),
         F.sum("returned").alias("returned"), F.sum("open").alias("open"), F.sum("quantity").alias("quantity"), F.size(F.collect_set("p_brand")).alias("brands"),  # there are 25 brands
@@ -84,7 +87,7 @@ def observations(spark: SparkSession, folder: str) -> DataFrame:
         "eu_fsd_exact_name_hit_count": ("R19", F.when(key % 2 == 0, F.col("first_lines"))),
         "core_tech_departure_event_count": ("R22", F.lit(12) - F.col("months")),
     })
-    shares = _long(_customers(spark, folder, line), {
+    shares = _long(_customers(spark, folder, line.select("s_suppkey", "l_orderkey", "day", "q")), {
         "overseas_revenue_ratio_pct": ("R18", F.lit(100.0) * F.col("abroad") / F.col("n")),
         "maximum_controller_ratio_pct": ("R20", F.lit(100.0) * F.col("most") / F.nullif("quantity", F.lit(0))),
     })
@@ -101,12 +104,14 @@ def observations(spark: SparkSession, folder: str) -> DataFrame:
 
 def _customers(spark: SparkSession, folder: str, line: DataFrame) -> DataFrame:
     """Per supplier and year: lines to other regions, and the quantity of the largest customer."""
-    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")).where("c_custkey IS NOT NULL")
     customer = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, folder, "nation").select("n_nationkey", "n_regionkey")
     home = table(spark, folder, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_regionkey").alias("home"))
     buyer = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_regionkey").alias("away"))
-    sold = line.join(orders, "l_orderkey").groupBy("s_suppkey", "y", "c_custkey").agg(
+    # dealt out by customer before they are summed: the join with the customers needs them so, and few lines of a supplier's year share one
+    bought = line.join(orders, "l_orderkey").select("s_suppkey", "day", "q", "c_custkey").repartition("c_custkey")
+    sold = bought.withColumn("y", F.year("day")).groupBy("s_suppkey", "y", "c_custkey").agg(
         F.sum("q").alias("q"), F.count("*").alias("n"), F.max("day").alias("last")
     )
     placed = sold.join(buyer, "c_custkey").join(home, "s_suppkey")
